@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, quality_rules, secrets, shared, simhash
+from tessella.llm import bpe, mixing, quality_rules, secret_scan, shared, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return chosen.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by a mark."""
-    return secrets.redact_secrets(docs)
+    return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality rules", quality), ("simhash near-dedup", near_duplicates), ("secret scan", secret_scan), ("source mix", mix_sources), ("byte-level BPE", encode)]
+STAGES = [("quality rules", quality), ("simhash near-dedup", near_duplicates), ("secret scan", redact), ("source mix", mix_sources), ("byte-level BPE", encode)]
 
 #: SQL can't express the fingerprints, the line rules or the merges.
 ORACLE_SQL = None

@@ -25,6 +25,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .components import connected_components
 from .shared import materialise
 
 _SLACK = 1e-9
+#: Candidate pairs whose vectors are compared at once: a bound on memory.
+PAIRS_AT_ONCE = 32_768
 
 
 class Subspaces:
@@ -71,26 +74,26 @@ class Subspaces:
             yield rows, key, not any(move)
 
 
-def _valid(vectors: list) -> np.ndarray:
-    return np.array([v is not None and all(x is not None for x in v) and bool(np.isfinite(v).all()) and any(v) for v in vectors], dtype=bool)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
 def _place(cosine: float, options: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            dims = np.array([len(v) for v in vectors])
+            dims = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            light = batch.select([0, 1])
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 space = Subspaces(int(dim), cosine, **options)
-                rotated = space.rotated(np.array([vectors[i] for i in rows], dtype=np.float64))
+                rotated = space.rotated(_matrix(batch.column(2).take(pa.array(rows))))
                 for block in range(len(space.blocks)):
                     for found, key, home in space.cells(rotated, block):
-                        pick = batch.take(pa.array(rows[found]))
+                        pick = light.take(pa.array(rows[found]))
                         n = len(found)
                         yield pa.RecordBatch.from_arrays(
                             [*pick.columns, pa.array(np.full(n, dim)), pa.array(np.full(n, block)), pa.array(key), pa.array(np.full(n, home))],
-                            names=[*batch.schema.names, "dim", "block", "cell", "home"],
+                            names=["id", "label", "dim", "block", "cell", "home"],
                         )
 
     return run
@@ -105,18 +108,19 @@ def _verify(cosine: float, options: dict, at_once: int = 1024):
         part = rotated[:, space.blocks[block]]
         size = (part * part).sum(axis=1)
         homes, probes = np.flatnonzero(rows["store"]), np.flatnonzero(rows["probe"])
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
         for i in range(0, len(probes), at_once):
             p = probes[i : i + at_once]
             near = size[p, None] + size[None, homes] - 2 * part[p] @ part[homes].T <= space.budgets[block] + 1e-9
-            a, b = np.nonzero(near)
-            a, b = p[a], homes[b]
-            other = rows["id"][a] != rows["id"][b]
-            a, b = a[other], b[other]
-            mine = space.first_block(space.squares(rotated[a] - rotated[b])) == block
-            a, b = a[mine], b[mine]
-            norm = np.sqrt((vectors * vectors).sum(axis=1))
-            good = (vectors[a] * vectors[b]).sum(axis=1) / (norm[a] * norm[b]) >= cosine
-            yield a[good], b[good]
+            all_a, all_b = np.nonzero(near)
+            for k in range(0, len(all_a), PAIRS_AT_ONCE):
+                a, b = p[all_a[k : k + PAIRS_AT_ONCE]], homes[all_b[k : k + PAIRS_AT_ONCE]]
+                other = rows["id"][a] != rows["id"][b]
+                a, b = a[other], b[other]
+                mine = space.first_block(space.squares(rotated[a] - rotated[b])) == block
+                a, b = a[mine], b[mine]
+                good = (vectors[a] * vectors[b]).sum(axis=1) / (norm[a] * norm[b]) >= cosine
+                yield a[good], b[good]
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -130,22 +134,23 @@ def _verify(cosine: float, options: dict, at_once: int = 1024):
                 continue
             part = table.slice(s, e - s)
             rows_ = {"id": part.column("id").to_numpy(), "copies": part.column("copies").to_numpy(), "store": store, "probe": probe}
-            rows_["vector"] = np.array(part.column("vector").to_pylist(), dtype=np.float64)
+            rows_["vector"] = _matrix(part.column("vector").combine_chunks())
             space = Subspaces(int(key[1][s]), cosine, **options)
             counts = np.zeros(e - s, dtype=np.int64)
             root = np.arange(e - s)
             for a, b in links_of(space, int(key[2][s]), rows_):
                 np.add.at(counts, a, rows_["copies"][b])
-                for x, y in zip(a.tolist(), b.tolist()):
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    while root[y] != y:
-                        root[y] = y = root[root[y]]
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        out["a"].append(int(rows_["id"][x]))
-                        out["b"].append(int(rows_["id"][y]))
-                        out["n"].append(0)
+                while len(a := a[apart := root[a] != root[b]]):
+                    b = b[apart]
+                    # Each root hooks to one smaller root; the rest is tried again.
+                    x, y = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                    y, first = np.unique(y, return_index=True)
+                    out["a"] += rows_["id"][x[first]].tolist()
+                    out["b"] += rows_["id"][y].tolist()
+                    out["n"] += [0] * len(y)
+                    root[y] = x[first]
+                    while (root[root] != root).any():
+                        root = root[root]
             hit = np.flatnonzero(counts)
             out["a"] += rows_["id"][hit].tolist()
             out["b"] += [None] * len(hit)
@@ -179,9 +184,8 @@ def link_counts(classes: DataFrame, cosine: float = 0.98, chunk: int = 4096, **o
     Rows with ``b`` are links of a forest; those without say that ``a`` has
     ``n`` links more (copies counted).
     """
-    placed = classes.select("id", "label", "vector", "copies").mapInArrow(
-        _place(cosine, options), "id long, label long, vector array<double>, copies long, dim long, block long, cell long, home boolean"
-    )
+    # Cells hold ids; the vectors join the tasks last, so they are moved once.
+    placed = classes.select("id", "label", "vector").mapInArrow(_place(cosine, options), "id long, label long, dim long, block long, cell long, home boolean")
     cells = ["label", "dim", "block", "cell"]
     placed = materialise(placed, "cells")
     crowd = placed.groupBy(*cells).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("probes"))
@@ -192,7 +196,8 @@ def link_counts(classes: DataFrame, cosine: float = 0.98, chunk: int = 4096, **o
     as_probe = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: F.struct(i.alias("i"), mine[1].alias("j"), F.lit(False).alias("store"), F.lit(True).alias("probe")))
     as_probe = F.filter(as_probe, lambda t: ~(F.col("home") & (t["i"] == mine[0])))
     nothing = F.slice(as_probe, 1, 0)
-    tasks = rows.select("id", "vector", "copies", *cells, F.inline(F.concat(F.coalesce(as_home, nothing), as_probe)))
+    tasks = rows.select("id", *cells, F.inline(F.concat(F.coalesce(as_home, nothing), as_probe)))
+    tasks = tasks.join(classes.select("id", "vector", "copies"), "id")
     keys = [*cells, "i", "j"]
     dealt = tasks.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(_verify(cosine, options), "a long, b long, n long")
@@ -209,7 +214,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str
     component's.  Other columns are not carried.  An empty table gives an empty
     one.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>").alias("vector"))
     number = "x is not null and not isnan(x) and abs(x) < double('infinity')"
     usable = F.expr(f"coalesce(label is not null and size(vector) > 0 and forall(vector, x -> {number}) and exists(vector, x -> x <> 0), false)")
     rows = rows.withColumn("key", F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, simhash, token_files
+from . import bpe, chat, embed_dedup, html_extract, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
