@@ -52,11 +52,9 @@ class WordMemoEncoder:
     """The ids of whole texts by the ``tokenizers`` library.
 
     A pre-tokenizer of this family splits wherever white space follows another
-    character, and between a letter and a full stop or comma.  Words cut at
-    spaces and line ends are encoded once, many in a call, and remembered; a
-    word's last full stop or comma is taken apart before.  Texts with runs of
-    white space are cut at single spaces only; those with a space in such a run
-    go to the library whole.
+    character.  Words cut at spaces and line ends are encoded once, many in a
+    call, and remembered.  Texts with runs of white space are cut at single
+    spaces only; those with a space in such a run go to the library whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -88,16 +86,14 @@ class WordMemoEncoder:
         if len(self.memo) > MEMORY_WORDS:
             self.memo.clear()
         memo = self.memo
-        fresh = set().union(*(w for w in cut if w)) - memo.keys()
-        stopped = {w for w in fresh if w[-1] in ".," and w[-2:-1].isalpha()}
-        self._learn(list(({w for w in fresh if w[0] in " \n"} - stopped | {w[:-1] for w in stopped if w[0] in " \n"}) - memo.keys()))
-        for w in fresh - memo.keys() - stopped:
+        fresh: set[str] = set()
+        for words in cut:
+            fresh.update(words or ())
+        fresh -= memo.keys()
+        for w in [w for w in fresh if w[0] not in " \n"]:
             memo[w] = self.whole(w)
-        ends = {c: self.whole(c) for c in ".,"}
-        for w in stopped:
-            if (stem := memo.get(w[:-1])) is None:
-                stem = memo[w[:-1]] = self.whole(w[:-1])
-            memo[w] = stem + ends[w[-1]]
+            fresh.discard(w)
+        self._learn(list(fresh))
         get = memo.__getitem__
         return [b"".join(map(get, w)) if w else self.whole(t) if t else b"" for w, t in zip(cut, texts)]
 
@@ -136,6 +132,23 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
 
 
+def _portions(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts (null: empty) in portions of about ``chars``: a bound on memory."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        ids += part.column(0).to_pylist()
+        texts += [t or "" for t in part.column(1).to_pylist()]
+        size += sum(map(len, texts[-part.num_rows :]))
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _writer(folder: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
@@ -148,10 +161,8 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
         n_docs = n_tokens = offset = 0
         with fs.open_output_stream(drafts[0]) as rec, fs.open_output_stream(drafts[1]) as idx:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    ids = part.column(0).to_pylist()
-                    for doc_id, packed in zip(ids, encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                for ids, texts in _portions(batch):
+                    for doc_id, packed in zip(ids, encoder.encode(texts)):
                         record = frame(_payload(doc_id, encoder.width, packed + tail))
                         rec.write(record)
                         idx.write(_index_entry(offset, n_tokens))
