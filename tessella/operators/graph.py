@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessella import schemas, vocab
 from tessella.functions import text as T
 
-_NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def entity_id(text: Column, kind: Column) -> Column:
@@ -23,7 +24,7 @@ def entity_mapping(entities: DataFrame) -> DataFrame:
 
 
 def _iri(s: Column, p: Column, o: Column) -> list[Column]:
-    return [s.alias("s"), p.alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), _NONE.alias("o_lang"), _NONE.alias("o_dtype")]
+    return [s.alias("s"), p.alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), _none().alias("o_lang"), _none().alias("o_dtype")]
 
 
 def _literal(s: Column, p: Column, o: Column, lang: str | None = None, dtype: str | None = None) -> list[Column]:

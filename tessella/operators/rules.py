@@ -9,14 +9,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import vocab
 from tessella.plans.materialize import checkpointed
 
 Rule = Callable[[DataFrame], DataFrame]
-_NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _edges(graph: DataFrame, p: str, s: str, o: str) -> DataFrame:
@@ -65,7 +66,7 @@ def new_triples(graph: DataFrame, rule: Rule) -> DataFrame:
     """What a rule derives and the graph lacks."""
     have = graph.where("o_kind = 'iri'").select("s", "p", "o")
     found = rule(graph).distinct().join(have, ["s", "p", "o"], "left_anti")
-    return found.select("s", "p", "o", F.lit("iri").alias("o_kind"), _NONE.alias("o_lang"), _NONE.alias("o_dtype"))
+    return found.select("s", "p", "o", F.lit("iri").alias("o_kind"), _none().alias("o_lang"), _none().alias("o_dtype"))
 
 
 def expand(graph: DataFrame, rules: dict[str, Rule] | None = None, fixpoint: bool = False) -> tuple[DataFrame, list[dict]]:
