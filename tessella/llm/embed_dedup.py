@@ -218,16 +218,17 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str
     number = "x is not null and not isnan(x) and abs(x) < double('infinity')"
     usable = F.expr(f"coalesce(label is not null and size(vector) > 0 and forall(vector, x -> {number}) and exists(vector, x -> x <> 0), false)")
     rows = rows.withColumn("key", F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256)))
-    rows = materialise(rows.withColumn("class", F.expr("cast(conv(substr(key, 1, 15), 16, 10) as bigint)")), "vectors")
-    classes = rows.where("key is not null").groupBy("class").agg(F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes, "classes")
-    found = materialise(link_counts(classes.withColumnRenamed("class", "id"), cosine, **options), "links")
+    rows = materialise(rows, "vectors")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
+    # The ids are those of one write, read ever after.
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    found = materialise(link_counts(classes.select(F.col("class").alias("id"), "label", "vector", "copies"), cosine, **options), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("class"), "root")
     member = classes.drop("vector", "label").join(counts, "class", "left").join(roots, "class", "left")
-    member = materialise(member.select("class", "least", F.coalesce("root", "class").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "members")
+    member = materialise(member.select("key", "least", F.coalesce("root", "class").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "members")
     smallest = member.groupBy("root").agg(F.min("least").alias("component"))
-    named = member.join(smallest, "root").select("class", "n_links", "component")
-    linked = rows.where("key is not null").select("vec_id", "class").join(named, "class").select("vec_id", "n_links", F.col("component").alias("component_id"))
+    named = member.join(smallest, "root").select("key", "n_links", "component")
+    linked = rows.where("key is not null").select("vec_id", "key").join(named, "key").select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
