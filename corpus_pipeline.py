@@ -24,11 +24,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns = docs.columns
     marked = shared.materialise(simhash.with_fingerprints(docs, "__fp"), "marked")
     light = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
-    kept = simhash.group_fingerprints(light).where("doc_id <=> component_id").select(F.col("fp").alias("__fp"), "doc_id").distinct()
-    kept = kept.select("__fp", F.col("doc_id").cast("string").alias("__id"))
-    rows = marked.withColumn("__id", F.col("doc_id").cast("string"))
-    same = (rows["__fp"] == kept["__fp"]) & rows["__id"].eqNullSafe(kept["__id"])
-    chosen = rows.join(kept, same, "left_semi")
+    kept = simhash.group_fingerprints(light).where("doc_id <=> component_id")
+    # A key without nulls, so that the join's partitions serve the window as well.
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    kept = kept.select(F.col("fp").alias("__fp"), key.alias("__id")).distinct()
+    chosen = marked.withColumn("__id", key).join(kept, ["__fp", "__id"], "left_semi")
     # Repeated ids, and groups whose ids are all null, still hold several rows.
     first = W.partitionBy("__fp", "__id").orderBy(*[F.col(c) for c in columns])
     return chosen.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
