@@ -40,7 +40,7 @@ from .shared import new_path
 
 _HEAD, _META, _INDEX, _CRC = struct.Struct("<QI"), struct.Struct("<qBB"), struct.Struct("<QQ"), struct.Struct("<I")
 #: Words whose ids a worker remembers at most; it forgets all beyond them.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 1_500_000
 _SPACE_RUN, _JOINED_SPACE = re.compile(r"\s\s"), re.compile(r"\s | \s")
 
 
@@ -97,16 +97,14 @@ class WordMemoEncoder:
         get = memo.__getitem__
         return [b"".join(map(get, w)) if w else self.whole(t) if t else b"" for w, t in zip(cut, texts)]
 
-    def _learn(self, words: list[str], at_once: int = 20_000) -> None:
+    def _learn(self, words: list[str], at_once: int = 2_000) -> None:
         for i in range(0, len(words), at_once):
             some = words[i : i + at_once]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.cumsum(self.n_bytes[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1
-            packed, start = ids.astype(self.dtype), 0
-            for word, stop in zip(some, stops.tolist()):
-                self.memo[word] = packed[start:stop].tobytes()
-                start = stop
+            sizes = np.fromiter(map(len, map(str.encode, some)), np.int64, len(some))
+            stops = ((np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1) * self.width).tolist()
+            packed = ids.astype(self.dtype).tobytes()
+            self.memo.update(zip(some, map(packed.__getitem__, map(slice, [0, *stops], stops))))
 
 
 @functools.lru_cache(maxsize=2)
