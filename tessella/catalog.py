@@ -7,6 +7,7 @@ hold it against brute force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tessella.functions import urls as U
 from tessella.operators import cleaning, crawl, entities, graph, kge, ner, qa, relations, rules, sampling
 from tessella.plans import views
 from tessella.plans.materialize import checkpointed
+from tessella.sources import files, providers
+from tessella.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -816,6 +819,184 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.answer(asked, mapping, e, r)
 
 
+@query(f"WITH {_RUN_SQL} SELECT case_id, len(coalesce(obs, [])) AS calls, length(t) AS n, tool_call_score FROM s JOIN e USING (case_id)")
+def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    return runs.select("case_id", F.size("observed").cast("long").alias("calls"), F.length(F.lower("response")).cast("long").alias("n"), qa.tool_score(F.col("observed"), F.col("expected_tools")).alias("tool_call_score"))
+
+
+@query("SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:25], chr(10))) AS digest, 'show(' || lang || ')' AS call FROM documents")
+def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(qa.shown_output(F.col("text"))).alias("digest"), qa.shown_call(F.lit("show"), F.col("lang")).alias("call"))
+
+
+@query("SELECT model, CASE WHEN model = 'm1' THEN printf('%.4f', 0.25) ELSE 'N/A' END AS small, printf('%.4f', CASE WHEN model = 'm1' THEN 0.5 ELSE 0.125 END) AS whole FROM (VALUES ('m1'), ('m2')) v(model)")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.createDataFrame([("m1", "small", 0.25), ("m1", "whole", 0.5), ("m2", "whole", 0.125)], "model string, size string, mrr double")
+    return kge.comparison(runs, ["small", "whole"])
+
+
+@query(f"WITH {_STAR}, e AS (SELECT s AS x FROM g0 UNION SELECT o FROM g0) SELECT CASE WHEN split_part(x, '_', 1) IN ('character', 'faction', 'location', 'event') THEN split_part(x, '_', 1) ELSE 'concept' END AS type, count(*) AS n FROM e GROUP BY 1")
+def slug_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = sampling.entity_labels(_dataset(spark, sf_dir)).distinct()
+    return labels.groupBy(kge.type_of_slug(F.col("label"), ("character", "faction", "location", "event")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id::INT AS id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def real_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, _ = _vectors(spark, sf_dir)
+    halves = e.select("id", F.slice("re", 1, 32).alias("re"), F.slice("re", 33, 32).alias("im"))
+    return kge.as_real(halves).select("id", F.size("re").cast("long").alias("n"), F.round(F.aggregate("re", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+# Names, prompts and candidates
+
+
+@query("SELECT c_custkey FROM customer WHERE length(trim(n)) >= 3 AND NOT regexp_matches(n, '[()]') ORDER BY 1".replace("FROM customer", "FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' (x)' WHEN c_custkey % 3 = 1 THEN ' ' || right(c_name, 2) ELSE c_name END AS n FROM customer)"))
+def valid_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(" (x)"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), F.right("c_name", F.lit(2)))).otherwise(F.col("c_name"))
+    return views.table(spark, sf_dir, "customer").where(entities.valid_synonym(name)).select("c_custkey")
+
+
+@query(f"WITH {_FLAT} SELECT canonical, len(names) AS n, names[1] AS first FROM al")
+def alias_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = entities.alias_sets(entities.flat_synonyms(_groups(spark, sf_dir)))
+    return sets.select("canonical", F.size("names").cast("long").alias("n"), F.element_at(F.array_sort("names"), 1).alias("first"))
+
+
+@query(
+    """WITH e AS (SELECT p_partkey AS ord, p_name AS text, p_brand AS url FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord) AS k FROM e)
+SELECT url, string_agg(text || ' (ARTIFACT)', ', ' ORDER BY ord, text) AS prompt FROM r WHERE k <= 60 GROUP BY url"""
+)
+def entity_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.lit("ARTIFACT").alias("type"), F.col("p_brand").alias("source_url"))
+    return relations.entity_prompts(parts)
+
+
+@query("SELECT DISTINCT lower(p_name) AS name FROM part")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.known_names(views.table(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("text")))
+
+
+@query("WITH a AS (SELECT o_orderkey, count(DISTINCT (l_suppkey, l_returnflag, p_brand)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT 'order/' || o_orderkey AS url, o_orderstatus AS title, coalesce(n, 0)::INT AS relations_found FROM orders LEFT JOIN a USING (o_orderkey)")
+def gathered_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderstatus").alias("title"))
+    found = parsed_relations(spark, sf_dir).withColumn("pos", F.lit(0))
+    return relations.gathered_relations(found, pages).select("url", "title", "stats.relations_found")
+
+
+@query("SELECT n AS name, n2 AS canonical FROM (SELECT p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' END AS n, min(p_name) AS n2 FROM part GROUP BY 1)")
+def exact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = views.table(spark, sf_dir, "part")
+    mapping = entities.canonical_map(parts.select("p_partkey", "p_name").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.array().cast("array<string>").alias("aliases")))
+    asked = parts.select(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "").otherwise(" ")).alias("name"))
+    return entities.resolve_names(asked, mapping)
+
+
+@query(f"WITH {_CANDIDATES} SELECT DISTINCT qid, cand_label, description FROM cand WHERE label = 'NATION_7' AND lang = 'fr' ORDER BY qid LIMIT 3")
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.label_lookup(_candidates(spark, sf_dir), "NATION_7", "fr")
+
+
+@query("SELECT n_name AS label, lang, md5(n_name || '_' || lang) AS key FROM nation, (VALUES ('fr'), ('en')) v(lang) WHERE NOT (n_nationkey % 2 = 0 AND lang = 'fr')")
+def candidates_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of every other nation's French candidates leaves to ask."""
+    n = views.table(spark, sf_dir, "nation")
+    cache = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("label"), F.lit("fr").alias("lang"), F.array().cast("array<string>").alias("found"))
+    _, ask = providers.cached_candidates(n.select(F.col("n_name").alias("name")), cache)
+    return ask.select("label", "lang", graph.cache_key(F.col("label"), F.col("lang")).alias("key"))
+
+
+@query()
+def completed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of each brand's parts, completed by a deterministic offline answer and parsed."""
+    prompts = entity_prompts(spark, sf_dir).withColumn("batch", F.xxhash64("url"))
+    answers = providers.completions(prompts, _offline_answer)
+    return ner.answered_types(answers)
+
+
+def _offline_answer(prompt: str) -> str:
+    import json
+
+    names = [n.rsplit(" (", 1)[0] for n in prompt.split(", ")]
+    return json.dumps([{"name": n, "type": "ARTIFACT" if len(n) % 2 else "CONCEPT"} for n in names])
+
+
+@query()
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "url")
+    rules_text = F.when(U.domain(F.col("url")).endswith(".org"), "User-agent: *\nDisallow: /en/").when(U.domain(F.col("url")).endswith(".com"), "User-agent: *\nAllow: /")
+    return pages.select("page_id", U.robots_allow(rules_text, "tessella", F.col("url")).alias("allowed"))
+
+
+# Files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints."""
+    sc = spark.sparkContext
+    checkpointed(spark.range(1))
+    return f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g WHERE p IN ('memberOf', 'subgroupOf', 'type', 'name') GROUP BY p")
+def ntriples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema's triples written as N-Triples and read again."""
+    path = _folder(spark, "graph") + ".nt"
+    files.write_ntriples(_whole(spark, sf_dir).where(F.substring_index("p", "#", -1).isin("memberOf", "subgroupOf", "type", "name")), path)
+    return _described(files.read_graph(spark, path))
+
+
+@query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g WHERE p IN ('memberOf', 'subgroupOf', 'type', 'name') GROUP BY p")
+def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "graph") + ".ttl"
+    files.write_turtle(_whole(spark, sf_dir).where(F.substring_index("p", "#", -1).isin("memberOf", "subgroupOf", "type", "name")), path)
+    return _described(files.read_graph(spark, path))
+
+
+def _described(triples: DataFrame) -> DataFrame:
+    size = F.length(F.when(F.col("o_kind") == "iri", F.substring_index("o", "#", -1)).otherwise(F.col("o")))
+    return triples.groupBy(F.substring_index("p", "#", -1).alias("property")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("size"))
+
+
+@query(f"WITH {_STAR} SELECT p AS property, count(*) AS n FROM g0 WHERE p = 'memberOf' GROUP BY p")
+def partitioned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as Parquet by property; one property's files are read."""
+    path = _folder(spark, "graph")
+    files.write_graph(views.star_graph(spark, sf_dir), path)
+    return rules.property_histogram(spark.read.parquet(path).where("property = 'memberOf'"))
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS size FROM documents GROUP BY lang")
+def jsonl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines in two runs, the second of which finds the first's rows done."""
+    path = _folder(spark, "pages")
+    schema = "url STRING, title STRING, text STRING"
+    pages = views.pages(spark, sf_dir).join(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord").select("url", F.col("lang").alias("title"), "text")
+    files.append_new(pages.where("title = 'en'"), path, schema)
+    files.append_new(pages, path, schema)
+    return files.read_jsonl(spark, path, schema).groupBy(F.col("title").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("size"))
+
+
+@query(f"WITH {_STAR}, r AS (SELECT p, count(*) AS n FROM g0 GROUP BY p), q AS (SELECT p, n, CASE WHEN n < 3 THEN 0 ELSE greatest(1, n // 10) END AS k FROM r) SELECT unnest(['train', 'valid', 'test']) AS split, unnest([sum(n - 2 * k), sum(k), sum(k)])::BIGINT AS n FROM q")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "splits")
+    files.write_dataset(checkpointed(sampling.stratified_split(_dataset(spark, sf_dir))), folder)
+    parts = [files.read_split(spark, f"{folder}/{name}").withColumn("split", F.lit(name)) for name in ("train", "valid", "test")]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines, taken by a stream that ends when all files are done; twice, to no effect."""
+    source, out, mark = (_folder(spark, n) for n in ("source", "out", "mark"))
+    files.write_jsonl(views.table(spark, sf_dir, "documents").select("doc_id", "lang"), source)
+    for _ in range(2):
+        ingest.ingest_jsonl(spark, source, "doc_id BIGINT, lang STRING", out, mark).awaitTermination()
+    return spark.read.parquet(out).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the star graph expanded by all rules, as a histogram of properties."""
     return expanded_properties(spark, sf_dir)

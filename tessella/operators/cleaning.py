@@ -19,10 +19,14 @@ def format_texts(pages: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(pages: DataFrame) -> DataFrame:
-    """The first page of each text.  The digest's rows are reduced before the join."""
-    keyed = pages.withColumn("__k", F.sha2(F.coalesce("text", F.lit("")), 256))
-    first = keyed.groupBy("__k").agg(F.min("ord").alias("__first"))
-    return keyed.join(first, "__k").where(F.col("ord") == F.col("__first")).drop("__k", "__first")
+    """The first page of each text.
+
+    Digests are reduced before the shuffle, and pages are joined by ``ord``: a
+    text with many copies is a hot key of neither.
+    """
+    digests = pages.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("k"), "ord")
+    first = digests.groupBy("k").agg(F.min("ord").alias("ord")).select("ord")
+    return pages.join(first, "ord", "left_semi")
 
 
 def cut_texts(pages: DataFrame, keywords: tuple[str, ...] = vocab.CUTOFFS) -> DataFrame:

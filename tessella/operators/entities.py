@@ -63,32 +63,40 @@ def canonical_map(entities: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower(T.strip(F.col("surface"))).alias("key")).agg(F.max_by("canonical", F.struct("ord", "pos")).alias("canonical"))
 
 
+def _bag(name: str) -> Column:
+    """A string's characters, numbered by occurrence."""
+    chars = F.split(F.col(name), "")
+    counted = F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda x: x == c)).alias("n")))
+    return F.flatten(F.transform(counted, lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.concat(x["c"], F.lit("#"), i.cast("string")))))
+
+
+def _grams(name: str) -> Column:
+    """A string's distinct substrings of one, two and three characters."""
+    text = F.col(name)
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(of(1), F.when(F.length(text) >= 2, of(2)).otherwise(none), F.when(F.length(text) >= 3, of(3)).otherwise(none)))
+
+
 def fuzzy_matches(queries: DataFrame, keys: DataFrame, least: float = 0.85) -> DataFrame:
     """``queries(q)``, ``keys(key)`` -> the best key of ratio >= ``least``; ties take the largest key.
 
-    The ratio 2M/T is at least ``least`` only if the strings share that many
-    characters, as bags.  Each pair is found from the rarest characters of the
-    query, counted with their occurrence: of a query's ``n`` numbered characters
-    a match lacks fewer than its bound allows, so it holds one of the first few.
-    The bag bound is then verified, and the ratio itself only on what is left.
+    With lengths that sum to T, a ratio of r has M = rT/2 matched characters
+    and T - 2M others, so at most (1 - r)T + 1 matching blocks: the longest has
+    at least M / ((1 - r)T + 1) characters.  Pairs are joined on a shared
+    substring of three, two or one characters, as many as their T guarantees
+    (three for T > 16 at 0.85).  Bounds by length and by common characters are
+    then verified, and the ratio itself only on what is left.
     """
-    def bag(name: str) -> Column:
-        chars = F.split(F.col(name), "")
-        counted = F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda x: x == c)).alias("n")))
-        return F.flatten(F.transform(counted, lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.concat(x["c"], F.lit("#"), i.cast("string")))))
-
-    queries = queries.select("q").where(F.length("q") > 0).distinct().withColumn("bag", bag("q"))
-    keys = keys.select("key").where(F.length("key") > 0).distinct().withColumn("kbag", bag("key"))
-    often = keys.select(F.explode("kbag").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    # With a shorter partner of length l the common part is at least r * (n + l) / 2 >= r * n / (2 - r).
-    terms = queries.select("q", F.explode("bag").alias("t")).join(often, "t", "left").select("q", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t").alias("s"))
-    ordered = terms.groupBy("q").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    n = F.size("s")
-    need = F.ceil(least * n / (2 - least) - 1e-9)
-    prefix = ordered.select("q", n.alias("nq"), F.explode(F.slice("s", F.lit(1), (n - need + 1).cast("int"))).alias("s")).select("q", "nq", F.col("s.t").alias("t"))
-    holders = keys.select("key", F.length("key").alias("nk"), F.explode("kbag").alias("t"))
-    near = 2 * F.least("nq", "nk") >= least * (F.col("nq") + F.col("nk")) - 1e-9
-    pairs = prefix.join(holders, "t").where(near).select("q", "key").distinct()
+    queries = queries.select("q").where(F.length("q") > 0).distinct().withColumn("bag", _bag("q"))
+    keys = keys.select("key").where(F.length("key") > 0).distinct().withColumn("kbag", _bag("key"))
+    left = queries.select("q", F.length("q").alias("nq"), F.explode(_grams("q")).alias("g"))
+    right = keys.select("key", F.length("key").alias("nk"), F.explode(_grams("key")).alias("g"))
+    total = F.col("nq") + F.col("nk")
+    matched, blocks = least / 2 * total - 1e-9, (1 - least) * total + 1
+    size = F.when(matched > 2 * blocks, 3).when(matched > blocks, 2).otherwise(1)
+    near = 2 * F.least("nq", "nk") >= least * total - 1e-9
+    pairs = left.join(right, "g").where(near & (F.length("g") == size)).select("q", "key").distinct()
     both = pairs.join(queries, "q").join(keys, "key")
     shared = F.size(F.array_intersect("bag", "kbag"))
     likely = both.where(2 * shared >= least * (F.length("q") + F.length("key")) - 1e-9)
