@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella import vocab
 from tessella.functions import text as T
+from tessella.functions.vectors import dot_product
 from tessella.plans.materialize import checkpointed
 
 
@@ -56,7 +57,8 @@ def term_weights(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS, lea
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     kept = F.filter(words, lambda w: ~w.isin(stop_words))
-    pages = pages.select("ord", kept.alias("words"))
+    # Dealt by page once: counts, norms and suffixes of a page then need no exchange of terms.
+    pages = pages.repartition("ord").select("ord", kept.alias("words"))
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))).otherwise(F.array().cast("array<string>"))
     terms = pages.select("ord", F.explode(F.concat("words", pairs)).alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
@@ -80,10 +82,11 @@ def similar_pairs(weights: DataFrame, least: float = 0.95) -> DataFrame:
     prefix = weights.withColumn("tail", tail).where(F.sqrt("tail") >= least - 1e-9).select("ord", "term", "w")
     a, b = prefix.select(F.col("ord").alias("a"), "term"), prefix.select(F.col("ord").alias("b"), "term")
     pairs = checkpointed(a.join(b, "term").where("a < b").select("a", "b").distinct())
-    left = weights.select(F.col("ord").alias("a"), "term", F.col("w").alias("wa"))
-    right = weights.select(F.col("ord").alias("b"), "term", F.col("w").alias("wb"))
-    products = pairs.join(left, "a").join(right, ["b", "term"])
-    return products.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+    # A page's vector in one row, its terms by their hash: as long as the page.
+    item = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
+    vectors = checkpointed(weights.groupBy("ord").agg(item.alias("v")).select("ord", F.col("v.t").alias("t"), F.col("v.w").alias("w")))
+    both = pairs.join(vectors.toDF("a", "ta", "wa"), "a").join(vectors.toDF("b", "tb", "wb"), "b")
+    return both.select("a", "b", dot_product(F.col("ta"), F.col("wa"), F.col("tb"), F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def keep_first_of_similar(pages: DataFrame, pairs: DataFrame) -> DataFrame:

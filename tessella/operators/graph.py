@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella import schemas, vocab
 from tessella.functions import text as T
 
+
 def _none() -> Column:
     return F.lit(None).cast("string")
 

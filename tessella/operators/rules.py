@@ -1,6 +1,5 @@
-"""Inference rules over triples, and the graph's statistics.
+"""Inference rules over triples between IRIs, and the graph's statistics.
 
-A rule is a function of the graph that returns new ``(s, p, o)`` between IRIs.
 Joins are equi-joins on nodes, so hot nodes are left to adaptive skew joins.
 """
 
@@ -8,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,37 +15,45 @@ from pyspark.sql import functions as F
 from tessella import vocab
 from tessella.plans.materialize import checkpointed
 
-Rule = Callable[[DataFrame], DataFrame]
+
 def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """``find`` gives ``(s, o)`` of the property ``result`` that a graph implies."""
+
+    result: str
+    find: Callable[[DataFrame], DataFrame]
+
+
 def _edges(graph: DataFrame, p: str, s: str, o: str) -> DataFrame:
     return graph.where((F.col("p") == p) & (F.col("o_kind") == "iri")).select(F.col("s").alias(s), F.col("o").alias(o))
 
 
 def symmetric(prop: str) -> Rule:
     """x p y gives y p x."""
-    return lambda g: _edges(g, prop, "y", "x").select(F.col("x").alias("s"), F.lit(prop).alias("p"), F.col("y").alias("o")).where("s <> o")
+    return Rule(prop, lambda g: _edges(g, prop, "o", "s").select("s", "o").where("s <> o"))
 
 
 def chain(first: str, second: str, result: str, loops: bool = True) -> Rule:
     """x first y and y second z give x result z."""
 
-    def rule(g: DataFrame) -> DataFrame:
-        found = _edges(g, first, "x", "y").join(_edges(g, second, "y", "z"), "y")
-        return (found if loops else found.where("x <> z")).select(F.col("x").alias("s"), F.lit(result).alias("p"), F.col("z").alias("o"))
+    def find(g: DataFrame) -> DataFrame:
+        found = _edges(g, first, "s", "y").join(_edges(g, second, "y", "o"), "y")
+        return (found if loops else found.where("s <> o")).select("s", "o")
 
-    return rule
+    return Rule(result, find)
 
 
 def implies(prop: str, result: str) -> Rule:
-    return lambda g: _edges(g, prop, "s", "o").select("s", F.lit(result).alias("p"), "o")
+    return Rule(result, lambda g: _edges(g, prop, "s", "o"))
 
 
 def from_common_subject(first: str, second: str, result: str) -> Rule:
     """x first y and x second z give y result z."""
-    return lambda g: _edges(g, first, "x", "y").join(_edges(g, second, "x", "z"), "x").select(F.col("y").alias("s"), F.lit(result).alias("p"), F.col("z").alias("o"))
+    return Rule(result, lambda g: _edges(g, first, "x", "s").join(_edges(g, second, "x", "o"), "x").select("s", "o"))
 
 
 def standard_rules(namespace: str = vocab.ONTOLOGY) -> dict[str, Rule]:
@@ -63,10 +71,9 @@ def standard_rules(namespace: str = vocab.ONTOLOGY) -> dict[str, Rule]:
 
 
 def new_triples(graph: DataFrame, rule: Rule) -> DataFrame:
-    """What a rule derives and the graph lacks."""
-    have = graph.where("o_kind = 'iri'").select("s", "p", "o")
-    found = rule(graph).distinct().join(have, ["s", "p", "o"], "left_anti")
-    return found.select("s", "p", "o", F.lit("iri").alias("o_kind"), _none().alias("o_lang"), _none().alias("o_dtype"))
+    """What a rule derives and the graph lacks; only the result's own property is compared."""
+    found = rule.find(graph).distinct().join(_edges(graph, rule.result, "s", "o"), ["s", "o"], "left_anti")
+    return found.select("s", F.lit(rule.result).alias("p"), "o", F.lit("iri").alias("o_kind"), _none().alias("o_lang"), _none().alias("o_dtype"))
 
 
 def expand(graph: DataFrame, rules: dict[str, Rule] | None = None, fixpoint: bool = False) -> tuple[DataFrame, list[dict]]:
