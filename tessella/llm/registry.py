@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -87,4 +88,59 @@ SELECT chosen_id, rejected_id, n::BIGINT AS n_prompt_turns, array_to_string(list
        CASE WHEN b IS NOT NULL THEN {side('b')} END AS rejected, CASE WHEN b IS NOT NULL THEN {mask('b')} END AS rejected_mask
 FROM l
 """
-    return {"op6_chat_preferences": chat_sql}
+    return {"op2_quality_rules": _rules_sql(), "op6_chat_preferences": chat_sql, "op8_embedding_dedup": _VECTORS_SQL, "op9_secret_scan": _secrets_sql()}
+
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
+"""
+
+
+def _rules_sql() -> str:
+    rules = quality_rules.LineRules()
+    words = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+    symbol = "[#*$%&|<>]"
+    phrases = "|".join(quality_rules.BOILERPLATE)
+    separators = ", ".join(f"'{x.decode()}'" for x in sorted(quality_rules._SEPARATORS))
+    symbols_of = lambda c: f"length(regexp_replace({c}, '[^#*$%&|<>]', '', 'g'))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, text, {words.format("text")} AS ws FROM d),
+win AS (SELECT k, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w),
+often AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY k),
+ln AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (SELECT k, line, {words.format("line")} AS ws FROM ln),
+m AS (SELECT k, line, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda x: strlen(x))), 0) AS size,
+  len(list_filter(ws, lambda x: x IN ({separators}))) AS seps, {symbols_of("line")} AS syms, len(list_filter(ws, lambda x: regexp_matches(x, '{symbol}'))) AS sw,
+  len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS same, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS cased FROM lw WHERE len(ws) > 0),
+f AS (SELECT k, line, size, (n >= 2 AND seps >= greatest(2, {rules.separators} * n)) OR (n <= {rules.boilerplate_words} AND regexp_matches(lower(line), '{phrases}'))
+  OR (syms >= {rules.symbol_words} * n AND sw >= greatest(3, {rules.symbol_words} * n))
+  OR (n >= {rules.least_words} AND (same >= {rules.repeats} * n OR (cased > 0 AND up / cased >= {rules.capitals}) OR NOT regexp_matches(line, '[.!?…。！？।؟]'))) AS fails FROM m),
+s AS (SELECT k, count(*) - count(DISTINCT line) AS dup, sum(size) AS total, sum(CASE WHEN fails THEN size ELSE 0 END) AS lost FROM f GROUP BY k),
+b AS (SELECT w.k, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, {symbols_of("text")} AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(total, 0) AS total FROM w LEFT JOIN s ON s.k = w.k LEFT JOIN rep ON rep.k = w.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= {rules.lost} * total AS kept
+FROM b
+"""
+
+
+def _secrets_sql() -> str:
+    """Spans from the pieces between matches, whose lengths add up to positions."""
+    base, steps, lists = len(secret_scan.BASE_RULES), [], []
+    for i, rule in enumerate(secret_scan.RULES):
+        pattern = ("(?i)" if rule.flags & re.IGNORECASE else "") + rule.pattern.replace("'", "''")
+        at = f"(coalesce(list_sum(list_transform(p{i}[1:j], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m{i}[1:j - 1], lambda x: length(x))), 0))::BIGINT"
+        steps.append(f"regexp_split_to_array(t, '{pattern}') AS p{i}, regexp_extract_all(t, '{pattern}') AS m{i}, regexp_extract_all(t, '{pattern}', {rule.group}) AS g{i}")
+        lists.append(f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda j: length(g{i}[j]) >= {rule.shortest}), lambda j: {{'s': {at}, 'r': {i}, 'w': '{rule.kind}:' || {at} || ':' || ({at} + length(m{i}[j]))}})")
+    counts = ", ".join(f"len(list_filter(f, lambda x: x.r = {i})) AS n_{rule.kind}" for i, rule in enumerate(secret_scan.BASE_RULES))
+    written = lambda c: f"array_to_string(list_transform(list_sort({c}), lambda x: x.w), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {", ".join(steps)} FROM d), f AS (SELECT doc_id, flatten([{", ".join(lists)}]) AS f FROM m)
+SELECT doc_id, {counts}, sha256({written(f"list_filter(f, lambda x: x.r < {base})")}) AS base_sha256, {written("f")} AS spans FROM f
+"""
