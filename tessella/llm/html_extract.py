@@ -4,12 +4,12 @@ Tokens are tags with their path from the root, and runs of text with their
 path.  A token's occurrence vector says how often each page of the host holds
 it; tokens with one vector form an equivalence class.  A class is valid if it
 is large (several tokens) and frequent (on most of the host's pages, on two at
-least): it is a part of the host's template.  Vectors are compared by a
-64-bit sum of mixed (page, count) pairs, so they need no more than a sum for
-each token and host, whatever the host's size.
+least) and nests: outermost first, a class must lie in one gap between tokens
+of the class around it, else it is dropped.  Vectors are compared by a 64-bit
+sum of mixed (page, count) pairs, and places by the mean of first and last
+positions, so a token needs no more than a few sums, whatever the host's size.
 
-In a page the valid classes' tokens nest as the elements that they open and
-close; the stretches between them are the template's slots.  A slot is main if
+The stretches of a page between the template's tokens are its slots.  A slot is main if
 its place in the nest is: within the article (or main) element where the page
 has one, else anywhere in the body, and never within menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments.  Text that is itself
@@ -22,13 +22,14 @@ import hashlib
 import html
 import re
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .shared import materialise
 
@@ -171,51 +172,67 @@ def host_column(url: str) -> Column:
     return F.lower(F.nullif(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def page_tokens(page: Page) -> list[int]:
-    """Hashed tokens; runs of text follow the tags."""
-    texts = [f"{r.path}#{r.text()}" for r in page.runs if not r.article]
-    return [_hash(t) for t in [*page.tokens, *texts]]
+def page_tokens(page: Page) -> list[tuple[int, float]]:
+    """Hashed tokens with their place from 0 to 1; runs of text follow the tags."""
+    n = max(1, len(page.tokens))
+    tags = [(_hash(t), i / n) for i, t in enumerate(page.tokens)]
+    return tags + [(_hash(f"{r.path}#{r.text()}"), (r.slot - 0.5) / n) for r in page.runs if not r.article]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial occurrence vectors of each batch's tokens by host."""
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
+        sums: dict[tuple[str, int], list] = {}
         for host, url, source in zip(*(c.to_pylist() for c in batch.columns)):
             number = _hash(f"{url}\n{source}") & 0xFFFFFFFFFFFFFFFF
-            counts = Counter(page_tokens(read_page(source or "")))
-            counts[0] = 1  # on every page: counts pages
-            for token, n in counts.items():
-                s = sums.setdefault((host, token), [0, 0, 0])
-                s[0] += _mix(number, n)
-                s[1] += 1
-                s[2] += n
-        keys, values = list(sums), list(sums.values())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.int64()),
-                pa.array([_signed(v[0]) for v in values], pa.int64()),
-                pa.array([v[1] for v in values], pa.int64()),
-                pa.array([v[2] for v in values], pa.int64()),
-            ],
-            names=["host", "token", "vector", "pages", "total"],
-        )
+            found: dict[int, list] = {0: [1, 0.0, 0.0]}  # on every page: counts pages
+            for token, place in page_tokens(read_page(source or "")):
+                seen = found.setdefault(token, [0, place, place])
+                seen[0] += 1
+                seen[2] = place
+            for token, (n, first, last) in found.items():
+                s = sums.setdefault((host, token), [0, 0, 0, 0.0, 0.0])
+                for i, v in enumerate((_mix(number, n), 1, n, first, last)):
+                    s[i] += v
+        keys, values = list(sums), list(zip(*sums.values())) if sums else [()] * 5
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(map(_signed, values[0]), pa.int64(), size=len(keys))]
+        columns += [pa.array(v, t) for v, t in zip(values[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "token", "vector", "pages", "total", "first", "last"])
+
+
+def nested(classes: list[list[tuple[float, float, int]]]) -> list[int]:
+    """The tokens of the classes ``[(first, last, token)]`` that nest, outermost first."""
+    ordered = sorted((sorted(c) for c in classes), key=lambda c: (min(t[0] for t in c) - max(t[1] for t in c), c))
+    kept: list[list[tuple[float, float, int]]] = []
+    for c in ordered:
+        low, high = min(t[0] for t in c), max(t[1] for t in c)
+        around = [k for k in kept if k[0][0] <= low and high <= max(t[1] for t in k)]
+        # In the innermost class around it, no token may stand amid this class's own.
+        if not around or not any(low < first < high or low < last < high for first, last, _ in around[-1]):
+            kept.append(c)
+    return [t for c in kept for _, _, t in c]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _nested(classes: pd.Series) -> pd.Series:
+    return classes.map(lambda host: nested([[(t["first"], t["last"], t["token"]) for t in c["members"]] for c in host]))
 
 
 def templates(pages: DataFrame, url: str = "url", source: str = "html", least_tokens: int = 2, least_share: float = 0.5) -> DataFrame:
     """``(host, tokens array<long>)``: the tokens of each host's valid classes."""
     known = pages.select(host_column(url).alias("host"), F.col(url).alias("url"), F.col(source).alias("html")).where("host is not null")
-    parts = known.mapInArrow(_vectors, "host string, token long, vector long, pages long, total long")
+    parts = known.mapInArrow(_vectors, "host string, token long, vector long, pages long, total long, first double, last double")
     # Sums wrap around: each half of a vector is summed apart, so none overflows.
-    halves = parts.select("host", "token", F.shiftrightunsigned("vector", 32).alias("hi"), F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("lo"), "pages", "total")
-    token = halves.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("hi", "lo", "pages", "total")])
+    halves = parts.withColumns({"hi": F.shiftrightunsigned("vector", 32), "lo": F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))})
+    token = halves.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("hi", "lo", "pages", "total", "first", "last")])
     token = materialise(token.where("pages > 1"), "tokens")
     sizes = token.where("token = 0").select("host", F.col("pages").alias("of"))
     frequent = token.where("token <> 0").join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(2.0), F.lit(least_share) * F.col("of")))
-    classes = frequent.groupBy("host", "hi", "lo", "pages", "total").agg(F.collect_list("token").alias("members"))
+    place = F.struct(F.round(F.col("first") / F.col("pages"), 9).alias("first"), F.round(F.col("last") / F.col("pages"), 9).alias("last"), "token")
+    classes = frequent.groupBy("host", "hi", "lo", "pages", "total").agg(F.array_sort(F.collect_list(place)).alias("members"))
+    # At most as many tokens a host as twice those of a page: each is on half of the pages.
     valid = classes.where(F.size("members") >= least_tokens)
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("tokens"))
+    return valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("members"))).alias("classes")).select("host", _nested("classes").alias("tokens"))
 
 
 def extract(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:

@@ -198,6 +198,12 @@ def test_equivalence_classes(spark):
     assert found[0].host == "a.com" and {"/body", "/body/nav", "/body/nav/i"} <= named
 
 
+def test_nesting():
+    outer, inner, crossing = [(0.0, 0.0, 1), (0.5, 0.5, 2), (1.0, 1.0, 3)], [(0.1, 0.1, 4), (0.4, 0.4, 5)], [(0.3, 0.3, 6), (0.6, 0.6, 7)]
+    assert html_extract.nested([inner, crossing, outer]) == [1, 2, 3, 4, 5]
+    assert html_extract.nested([]) == []
+
+
 def test_articles_match_the_pages(sf):
     import html
 
