@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -77,6 +78,23 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * token_ratio(a, b, partial_ratio))
 
 
-@F.pandas_udf(DoubleType())
-def link_score(query: pd.Series, choice: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio(q, c) for q, c in zip(query, choice)])
+def best_possible(a: str, b: str) -> float:
+    """No :func:`weighted_ratio` of the strings is higher, judged by their common characters."""
+    if not a or not b or set(a.split()) & set(b.split()):
+        return 100.0
+    common = sum(min(a.count(c), b.count(c)) for c in set(a))
+    short, long = sorted((len(a), len(b)))
+    # Windows of the longer string may be as short as what is common.
+    best = max(200.0 * common / (short + long), 0.9 * 200.0 * common / (short + max(1, common)))
+    bare = " ".join(a.split()), " ".join(b.split())
+    return best if bare == (a, b) else max(best, 0.95 * best_possible(*bare)) if all(bare) else best
+
+
+def link_score(query: Column, choice: Column, least: float) -> Column:
+    """The weighted ratio; 0 where it can't reach ``least``."""
+
+    @F.pandas_udf(DoubleType())
+    def score(queries: pd.Series, choices: pd.Series) -> pd.Series:
+        return pd.Series([weighted_ratio(q, c) if best_possible(q, c) >= least else 0.0 for q, c in zip(queries, choices)], dtype=float)
+
+    return score(query, choice)

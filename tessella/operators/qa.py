@@ -24,7 +24,7 @@ def link_entities(questions: DataFrame, mapping: DataFrame, least: float = 65.0,
     asked = questions.select("id", F.lower(T.strip(F.col("name"))).alias("q"))
     exact = asked.join(mapping, asked.q == mapping.key).select("id", F.lit("CONFIRMED").alias("status"), F.lit(1).alias("rank"), "key", "eid", F.lit(100.0).alias("score"))
     rest = asked.join(exact, "id", "left_anti")
-    scored = in_blocks(rest, ["id"], lambda block: mapping.join(block).withColumn("score", link_score(F.col("q"), F.col("key"))).where(F.col("score") >= least))
+    scored = in_blocks(rest, ["id"], lambda block: mapping.join(block).withColumn("score", link_score(F.col("q"), F.col("key"), least)).where(F.col("score") >= least))
     top = scored.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "key"))).where(F.col("place") <= most)
     each = top.withColumn("n", F.row_number().over(W.partitionBy("id", "eid").orderBy("place"))).where("n = 1")
     near = each.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("place"))).select("id", F.lit("AMBIGUOUS").alias("status"), "rank", "key", "eid", "score")

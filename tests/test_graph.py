@@ -84,6 +84,12 @@ def test_weighted_ratio():
     assert fuzzy.weighted_ratio("abc", "xyz") == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab c", max_size=20), st.text(alphabet="ab c", max_size=20))
+def test_best_possible(a, b):
+    assert fuzzy.weighted_ratio(a, b) <= fuzzy.best_possible(a, b) + 1e-9
+
+
 def test_ends(spark):
     known = spark.createDataFrame([(1, "Horus", "CHARACTER"), (2, "Horus Lupercal", "CHARACTER"), (3, "X", "CHARACTER")], "ord long, text string, type string")
     names = spark.createDataFrame([("lupercal",), ("HORUS",), ("no",), ("ax",), ("zzz",)], "name string")
