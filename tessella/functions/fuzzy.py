@@ -78,16 +78,21 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * token_ratio(a, b, partial_ratio))
 
 
-def best_possible(a: str, b: str) -> float:
-    """No :func:`weighted_ratio` of the strings is higher, judged by their common characters."""
-    if not a or not b or set(a.split()) & set(b.split()):
+def _bound(a: str, b: str) -> float:
+    """No ratio of the strings, whole or partial (at 0.9), is higher, judged by their common characters."""
+    if not a or not b:
         return 100.0
     common = sum(min(a.count(c), b.count(c)) for c in set(a))
-    short, long = sorted((len(a), len(b)))
     # Windows of the longer string may be as short as what is common.
-    best = max(200.0 * common / (short + long), 0.9 * 200.0 * common / (short + max(1, common)))
-    bare = " ".join(a.split()), " ".join(b.split())
-    return best if bare == (a, b) else max(best, 0.95 * best_possible(*bare)) if all(bare) else best
+    return max(200.0 * common / (len(a) + len(b)), 0.9 * 200.0 * common / (min(len(a), len(b)) + max(1, common)))
+
+
+def best_possible(a: str, b: str) -> float:
+    """No :func:`weighted_ratio` of the strings is higher: bounds of the strings, their words, and their sets of words."""
+    one, two = set(a.split()), set(b.split())
+    if one & two:
+        return 100.0
+    return max(_bound(a, b), _bound(" ".join(a.split()), " ".join(b.split())), _bound(" ".join(sorted(one)), " ".join(sorted(two))))
 
 
 def link_score(query: Column, choice: Column, least: float) -> Column:

@@ -84,7 +84,7 @@ def test_weighted_ratio():
     assert fuzzy.weighted_ratio("abc", "xyz") == 0
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=3000, deadline=None)
 @given(st.text(alphabet="ab c", max_size=20), st.text(alphabet="ab c", max_size=20))
 def test_best_possible(a, b):
     assert fuzzy.weighted_ratio(a, b) <= fuzzy.best_possible(a, b) + 1e-9
