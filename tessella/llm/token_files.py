@@ -169,6 +169,8 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
                         n_docs += 1
         for draft, name in zip(drafts, names):
             if n_docs:
+                if fs.get_file_info(name).type != pafs.FileType.NotFound:  # of an attempt before, with the same bytes
+                    fs.delete_file(name)
                 fs.move(draft, name)
             else:
                 fs.delete_file(draft)

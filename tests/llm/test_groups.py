@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -150,6 +151,15 @@ def test_mix(spark):
         mixing.mix(docs, {"hot": 0})
 
 
+def test_files_follow_the_mix(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"s{i % 3}") for i in range(500)], "doc_id long, source string")
+    mixing.in_mixed_order(docs, block_rows=4).write.parquet(str(tmp_path / "out"))
+    position = {r.doc_id: r.mix_position for r in mixing.mix(docs, block_rows=4).collect()}
+    files = sorted((tmp_path / "out").glob("part-*.parquet"))
+    order = [position[i] for f in files for i in pq.read_table(f).column("doc_id").to_pylist()]
+    assert len(files) > 1 and len(order) == 500 and order == sorted(order)
+
+
 def test_preferences(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "same"), (1, 2, "user", "more"), (1, 3, "assistant", "good answer"), (2, 0, "user", "q"), (2, 1, "assistant", "same"), (2, 2, "user", "else"), (3, 0, "user", "lone"), (3, 1, "assistant", "hi"), (None, 0, None, None)]
     got = {r.chosen_id: r for r in chat.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
