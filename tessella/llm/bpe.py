@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 LEAF_CHARS = 1024
 FIRST_WINDOW = 32
 
@@ -130,8 +132,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 0):
                 ids = [bpe.encode(t or "") for t in batch.column(0).to_pylist()]
                 digests = [
                     pa.array(map(len, ids), pa.int64(), size=len(ids)),

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .shared import materialise
+from .shared import materialise, slices
 
 _PIECE = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""",
@@ -53,6 +53,9 @@ _ASIDE_WORDS = frozenset(
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+MOST_DEPTH = 64
+
+
 @dataclass
 class Run:
     """A block of text: its pieces, its token, and its place."""
@@ -141,7 +144,8 @@ def read_page(source: str) -> Page:
                 if open_tag in (limits or _BLOCKS):
                     break
         top = stack[-1]
-        path = f"{top.path}/{label}"
+        # Past a depth, elements share a path: it stays short in pages that close nothing.
+        path = f"{top.path}/{label}" if len(stack) <= MOST_DEPTH else f"{stack[MOST_DEPTH - 1].path}/~/{label}"
         page.tokens.append(path)
         if tag not in _VOID and not piece[4].endswith("/") or tag == "a":
             stack.append(_Open(tag, path, top.aside or aside, top.article or tag in ("article", "main") or "role:main" in label))
@@ -279,8 +283,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, frozenset[int]] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 2):
                 texts = []
                 for page_source, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     key = tuple(tokens or ())

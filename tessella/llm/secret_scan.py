@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -227,8 +229,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
         for batch in batches:
-            for at in range(0, batch.num_rows, segment_rows):
-                part = batch.slice(at, segment_rows)
+            for part in slices(batch, 1, segment_rows):
                 found = scan.segment(part.column(1).to_pylist())
                 counts = [pa.array([sum(s[1] == i for s in spans) for spans in found], pa.int64()) for i in range(base)]
                 digest = [hashlib.sha256(scan.written([s for s in spans if s[1] < base]).encode()).hexdigest() for spans in found]
@@ -253,8 +254,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
         for batch in batches:
-            for at in range(0, batch.num_rows, segment_rows):
-                part = batch.slice(at, segment_rows)
+            for part in slices(batch, at_text, segment_rows):
                 texts, columns = part.column(at_text).to_pylist(), list(part.columns)
                 counts = columns[at_n].to_pylist() if at_n is not None else None
                 for i, spans in enumerate(scan.segment(texts)):

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +52,15 @@ def cleanup(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tessella/{app}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batch: pa.RecordBatch, column: int, most_rows: int = 2048, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, whole rows, of bounded text in ``column``; one row may exceed the bound."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = int(total[at - 1]) if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(total, before + most_bytes, side="right"))), at + most_rows)
+        yield batch.slice(at, stop - at)
+        at = stop

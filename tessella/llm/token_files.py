@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, slices
 
 _HEAD, _META, _INDEX, _CRC = struct.Struct("<QI"), struct.Struct("<qBB"), struct.Struct("<QQ"), struct.Struct("<I")
 #: Words whose ids a worker remembers at most; it forgets all beyond them.
@@ -130,24 +130,7 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
 
 
-def _portions(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Ids and texts (null: empty) in portions of about ``chars``: a bound on memory."""
-    ids: list[int | None] = []
-    texts: list[str] = []
-    size = 0
-    for at in range(0, batch.num_rows, 256):
-        part = batch.slice(at, 256)
-        ids += part.column(0).to_pylist()
-        texts += [t or "" for t in part.column(1).to_pylist()]
-        size += sum(map(len, texts[-part.num_rows :]))
-        if size >= chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _writer(folder: str, tokenizer_path: str, end_id: int):
+def _writer(folder: str, tokenizer_path: str, end_id: int, part_rows: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         tail = np.array([end_id], dtype=encoder.dtype).tobytes()
@@ -159,8 +142,9 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
         n_docs = n_tokens = offset = 0
         with fs.open_output_stream(drafts[0]) as rec, fs.open_output_stream(drafts[1]) as idx:
             for batch in batches:
-                for ids, texts in _portions(batch):
-                    for doc_id, packed in zip(ids, encoder.encode(texts)):
+                for part in slices(batch, 1, part_rows):
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    for doc_id, packed in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                         record = frame(_payload(doc_id, encoder.width, packed + tail))
                         rec.write(record)
                         idx.write(_index_entry(offset, n_tokens))

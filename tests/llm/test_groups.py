@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, components, embed_dedup, mixing, quality_classifier, quality_rules, ranks, registry, simhash
+from tessella.llm import chat, components, embed_dedup, mixing, quality_classifier, quality_rules, ranks, registry, shared, simhash
 
 
 def roots(n, pairs):
@@ -235,3 +236,14 @@ def test_stages_keep_columns_and_odd_rows(spark, sf):
 
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aé", max_size=30)), max_size=30), st.integers(1, 5), st.integers(1, 40))
+def test_slices_are_whole_and_bounded(texts, most_rows, most_bytes):
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+    parts = list(shared.slices(batch, 0, most_rows, most_bytes))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    for p in parts:
+        size = sum(len((t or "").encode()) for t in p.column(0).to_pylist())
+        assert 1 <= p.num_rows <= most_rows and (size <= most_bytes or p.num_rows == 1)
