@@ -74,7 +74,9 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAGES}, {_CLEAN}, {_FIRSTS} SELECT d.lang AS lang, count(*) AS n, round(avg(length(f.text)), 4) AS avg_length FROM firsts f JOIN documents d ON f.ord = d.doc_id WHERE length(f.text) >= 300 GROUP BY d.lang")
 def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice: boilerplate, exact duplicates, least length, then figures by language."""
-    kept = cleaning.long_enough(cleaning.drop_exact_duplicates(cleaning.format_texts(views.pages(spark, sf_dir))))
+    # Cleaned once: the digests, the filter and the lengths would each clean again.
+    cleaned = checkpointed(cleaning.format_texts(views.pages(spark, sf_dir)).select("ord", "text"))
+    kept = cleaning.long_enough(cleaning.drop_exact_duplicates(cleaned))
     langs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang")
     return kept.join(langs, "ord").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 4).alias("avg_length"))
 

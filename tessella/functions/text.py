@@ -28,8 +28,11 @@ def nfkc(text: pd.Series) -> pd.Series:
 def without_boilerplate(text: Column, patterns: tuple[str, ...] = vocab.BOILERPLATE) -> Column:
     """Null becomes empty; each pattern is removed, in order; then stripped."""
     # d: only a line feed ends a line; u: Unicode case folding.
-    removed = reduce(lambda t, p: F.regexp_replace(t, f"(?imdu){p}", ""), patterns, F.coalesce(text, F.lit("")))
-    return strip(removed)
+    text = F.coalesce(text, F.lit(""))
+    removed = reduce(lambda t, p: F.regexp_replace(t, f"(?imdu){p}", ""), patterns, text)
+    # One pass over most texts, as few hold any of the patterns.
+    any_of = "(?imdu)" + "|".join(f"(?:{p})" for p in patterns)
+    return strip(F.when(text.rlike(any_of), removed).otherwise(text))
 
 
 def clean_text(text: Column) -> Column:
