@@ -13,7 +13,9 @@ The stretches of a page between the template's tokens are its slots.  A slot is
 its place in the nest is: within the article (or main) element where the page
 has one, else anywhere in the body, and never within menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments.  Text that is itself
-template is dropped, except within an article, whose words are never dropped.
+template is dropped.  Within an article it is so on hosts of ``ARTICLE_PAGES``
+pages or more, as few pages share words by chance or as copies; a page whose
+article is template throughout keeps it.
 """
 
 from __future__ import annotations
@@ -55,6 +57,11 @@ _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 MOST_DEPTH = 64
 
+#: Pages of a host from which its template decides within articles too.
+ARTICLE_PAGES = 8
+#: The token that every page of a host has; in a template, the host has ``ARTICLE_PAGES``.
+_EVERY_PAGE = 0
+
 
 @dataclass
 class Run:
@@ -180,7 +187,7 @@ def page_tokens(page: Page) -> list[tuple[int, float]]:
     """Hashed tokens with their place from 0 to 1; runs of text follow the tags."""
     n = max(1, len(page.tokens))
     tags = [(_hash(t), i / n) for i, t in enumerate(page.tokens)]
-    return tags + [(_hash(f"{r.path}#{r.text()}"), (r.slot - 0.5) / n) for r in page.runs if not r.article]
+    return tags + [(_hash(f"{r.path}#{r.text()}"), (r.slot - 0.5) / n) for r in page.runs]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +196,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list] = {}
         for host, url, source in zip(*(c.to_pylist() for c in batch.columns)):
             number = _hash(f"{url}\n{source}") & 0xFFFFFFFFFFFFFFFF
-            found: dict[int, list] = {0: [1, 0.0, 0.0]}  # on every page: counts pages
+            found: dict[int, list] = {_EVERY_PAGE: [1, 0.0, 0.0]}  # on every page: counts pages
             for token, place in page_tokens(read_page(source or "")):
                 seen = found.setdefault(token, [0, place, place])
                 seen[0] += 1
@@ -223,20 +230,22 @@ def _nested(classes: pd.Series) -> pd.Series:
 
 
 def templates(pages: DataFrame, url: str = "url", source: str = "html", least_tokens: int = 2, least_share: float = 0.5) -> DataFrame:
-    """``(host, tokens array<long>)``: the tokens of each host's valid classes."""
+    """``(host, tokens array<long>)``: the tokens of each host's valid classes, ``_EVERY_PAGE`` first if it has ``ARTICLE_PAGES``."""
     known = pages.select(host_column(url).alias("host"), F.col(url).alias("url"), F.col(source).alias("html")).where("host is not null")
     parts = known.mapInArrow(_vectors, "host string, token long, vector long, pages long, total long, first double, last double")
     # Sums wrap around: each half of a vector is summed apart, so none overflows.
     halves = parts.withColumns({"hi": F.shiftrightunsigned("vector", 32), "lo": F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))})
     token = halves.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("hi", "lo", "pages", "total", "first", "last")])
     token = materialise(token.where("pages > 1"), "tokens")
-    sizes = token.where("token = 0").select("host", F.col("pages").alias("of"))
-    frequent = token.where("token <> 0").join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(2.0), F.lit(least_share) * F.col("of")))
+    sizes = token.where(F.col("token") == _EVERY_PAGE).select("host", F.col("pages").alias("of"))
+    frequent = token.where(F.col("token") != _EVERY_PAGE).join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(2.0), F.lit(least_share) * F.col("of")))
     place = F.struct(F.round(F.col("first") / F.col("pages"), 9).alias("first"), F.round(F.col("last") / F.col("pages"), 9).alias("last"), "token")
-    classes = frequent.groupBy("host", "hi", "lo", "pages", "total").agg(F.array_sort(F.collect_list(place)).alias("members"))
+    classes = frequent.groupBy("host", "of", "hi", "lo", "pages", "total").agg(F.array_sort(F.collect_list(place)).alias("members"))
     # At most as many tokens a host as twice those of a page: each is on half of the pages.
     valid = classes.where(F.size("members") >= least_tokens)
-    return valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("members"))).alias("classes")).select("host", _nested("classes").alias("tokens"))
+    hosts = valid.groupBy("host", "of").agg(F.array_sort(F.collect_list(F.struct("members"))).alias("classes"))
+    enough = F.when(F.col("of") >= ARTICLE_PAGES, F.array(F.lit(_EVERY_PAGE).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return hosts.select("host", F.concat(enough, _nested("classes")).alias("tokens"))
 
 
 def extract(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -249,13 +258,15 @@ def extract(page: Page, template: frozenset[int] | set[int] = frozenset()) -> st
     slots: dict[int, list[Run]] = {}
     for r in page.runs:
         slots.setdefault(slot_of[r.slot - 1] if r.slot else 0, []).append(r)
+    own = lambda r: _hash(f"{r.path}#{r.text()}") not in template
     article = any(r.article and not r.aside for r in page.runs)
+    decided = _EVERY_PAGE in template and any(r.article and not r.aside and own(r) for r in page.runs)
     blocks = []
     for runs in slots.values():
         if article:
-            chosen = [r for r in runs if r.article and not r.aside]
+            chosen = [r for r in runs if r.article and not r.aside and (not decided or own(r))]
         else:
-            chosen = [r for r in runs if not r.aside and _hash(f"{r.path}#{r.text()}") not in template]
+            chosen = [r for r in runs if not r.aside and own(r)]
             size = sum(len("".join(r.pieces)) for r in chosen)
             if size and sum(r.linked for r in chosen) > 0.5 * size:
                 chosen = []

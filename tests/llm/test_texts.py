@@ -189,6 +189,17 @@ def test_extraction_rows(spark):
     assert html_extract.extract_main_text(table.limit(0)).count() == 0
 
 
+def test_template_decides_within_articles(spark):
+    page = "<body><nav>menu</nav><article><h1>T{n}</h1><p>Own words of {n}.</p><div>Read also our guide</div><p>Also {n}.</p><p>Join us today.</p></article></body>"
+    rows = [(i, f"http://many.com/{i}", page.replace("{n}", f"n{i}")) for i in range(9)] + [(20 + i, f"http://few.com/{i}", page.replace("{n}", f"n{i}")) for i in range(4)]
+    rows += [(40 + i, f"http://copies.com/{i}", page.replace("{n}", "same")) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Tn{i}\nOwn words of n{i}.\nAlso n{i}." for i in range(9))
+    # Few pages and pages that are all copies tell nothing about an article.
+    assert all(got[20 + i] == f"Tn{i}\nOwn words of n{i}.\nRead also our guide\nAlso n{i}.\nJoin us today." for i in range(4))
+    assert all(got[40 + i] == "Tsame\nOwn words of same.\nRead also our guide\nAlso same.\nJoin us today." for i in range(9))
+
+
 def test_equivalence_classes(spark):
     rows = [(f"http://a.com/{i}", "<body><nav><i>x</i></nav>" + "<p>w</p>" * i + "</body>") for i in range(1, 5)]
     found = html_extract.templates(spark.createDataFrame(rows, "url string, html string")).collect()
