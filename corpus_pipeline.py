@@ -45,8 +45,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of each document."""
-    return bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids and digests of each document, with ``mix_position`` and in its order.
+
+    Spark rereads files in an order of its own, so the schedule is computed
+    again: the same rows have the same positions.
+    """
+    mixed = mixing.in_mixed_order(docs, keep_position=True).select("doc_id", "source", "mix_position", "text")
+    return bpe.encode_documents(mixed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality rules", quality), ("simhash near-dedup", near_duplicates), ("secret scan", redact), ("source mix", mix_sources), ("byte-level BPE", encode)]
@@ -56,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, from the whole of ``documents``."""
+    """The last stage's rows, from the whole of ``documents``, in the mix's order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = shared.materialise(stage(spark, docs, sf_dir), f"stage{i}")
-    return docs
+    return docs.orderBy("mix_position")

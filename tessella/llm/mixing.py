@@ -139,10 +139,12 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     return placed.withColumn("mix_position", position.cast("long")).select(*names, *new)
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
+def in_mixed_order(docs: DataFrame, keep_position: bool = False, **options) -> DataFrame:
     """``docs``, whole, dealt to partitions and sorted by the mix's positions.
 
     Written as files, their names' order and the rows' order are the mix's.
+    Files are read again in another order: ``keep_position`` adds ``mix_position``.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs, **options).repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    rows = mix(docs, **options).repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position")
+    return rows.select(*[c for c in docs.columns if c != "mix_position" or not keep_position], *["mix_position"] * keep_position)

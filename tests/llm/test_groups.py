@@ -220,6 +220,24 @@ def test_pipeline(spark, sf):
     assert all(len(r.token_ids) == r.n_tokens for r in got)
 
 
+def test_pipeline_follows_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}x{j * j % (17 + i)}y{j}" for j in range(60 + 40 * (i % 9))) + " end.", "en", f"s{i % 3 if i % 4 else 0}", 5) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    order = [(r.doc_id, r.mix_position) for r in got.collect()]
+    want = {r.doc_id: r.mix_position for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert len(order) == 120 and order == sorted(want.items(), key=lambda x: x[1])
+    got.write.parquet(f"{tmp_path}/out")
+    files = sorted((tmp_path / "out").glob("part-*.parquet"))
+    assert [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()] == [i for i, _ in order]
+    # The last stage's own files too, as they are named.
+    corpus_pipeline.encode(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").write.parquet(f"{tmp_path}/encoded")
+    files = sorted((tmp_path / "encoded").glob("part-*.parquet"))
+    assert [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()] == [i for i, _ in order]
+
+
 def test_stages_keep_columns_and_odd_rows(spark, sf):
     import corpus_pipeline
 
