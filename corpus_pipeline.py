@@ -15,8 +15,8 @@ from tessella.llm import bpe, mixing, quality_rules, secret_scan, shared, simhas
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep."""
-    return quality_rules.keep_good(docs)
+    """Documents that the line-first rules keep, without their failing lines."""
+    return quality_rules.keep_cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

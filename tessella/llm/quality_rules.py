@@ -164,19 +164,45 @@ def keep_good(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(
     return docs.mapInArrow(run, docs.schema)
 
 
+def cleaned(text: str | None, rules: LineRules = LineRules()) -> str | None:
+    """A text without its failing lines (null stays null)."""
+    if text is None:
+        return None
+    return "\n".join(x for x in text.split("\n") if not (w := x.encode().split()) or not line_fails(x.encode(), w, rules))
+
+
+def keep_cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, without its failing lines.
+
+    Verdicts are those of the whole text.  ``n_chars``, where the table has it,
+    is set anew for changed texts; the other columns stay as they are.
+    """
+    names = docs.columns
+    at, at_n = names.index(text), names.index(n_chars) if n_chars in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = whole.column(at).to_pylist()
+            found = [measure(t, rules) for t in texts]
+            batch = whole.filter(pa.array([m["kept"] for m in found], pa.bool_()))
+            changed = [cleaned(t, rules) if m["lost_share"] else None for t, m in zip(texts, found) if m["kept"]]
+            columns = list(batch.columns)
+            columns[at] = pa.array([t if c is None else c for t, c in zip(columns[at].to_pylist(), changed)], columns[at].type)
+            if at_n is not None:
+                columns[at_n] = pa.array([n if c is None else len(c) for n, c in zip(columns[at_n].to_pylist(), changed)], columns[at_n].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """``docs`` with the failing lines removed from ``text`` (null stays null)."""
     names, at = docs.columns, docs.columns.index(text)
 
-    def clean(t: str | None) -> str | None:
-        if t is None:
-            return None
-        return "\n".join(x for x in t.split("\n") if not (w := x.encode().split()) or not line_fails(x.encode(), w, rules))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], columns[at].type)
+            columns[at] = pa.array([cleaned(t, rules) for t in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
