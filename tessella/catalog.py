@@ -221,9 +221,10 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl from the pages that end in a bare path, over a table of pages."""
+    """A crawl from each host's smallest URL that the filter admits, over a table of pages."""
     pages = views.table(spark, sf_dir, "pages").select("url", "html")
-    return crawl.crawl(pages, ["http://ththre.example.com/fr/825?page=2&ref=x"], max_depth=2)
+    hosts = crawl.admissible(pages).groupBy(U.domain(F.col("url")).alias("host")).agg(F.min("url").alias("url")).where("host <> ''")
+    return crawl.crawl(pages, [r.url for r in hosts.select("url").collect()])
 
 
 # Entities

@@ -5,6 +5,8 @@ Fetching is a source's matter; these operators decide what is fetched next.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def crawl(pages: DataFrame, seeds: list[str], prefixes: list[str] = (), robots:
     ``max_depth``.
     """
     spark = pages.sparkSession
-    domains = sorted({s.split("://", 1)[-1].split("/", 1)[0] for s in seeds})
+    domains = sorted({re.split("[/?#]", s.split("://", 1)[-1], maxsplit=1)[0] for s in seeds})
     stored = pages.select(U.decoded("url").alias("url"), "html").dropDuplicates(["url"])
     frontier = spark.createDataFrame([(s,) for s in seeds], "url string").select(U.decoded("url").alias("url")).distinct()
     frontier = checkpointed(admissible(frontier, domains, prefixes))

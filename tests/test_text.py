@@ -132,3 +132,34 @@ def test_similar_pairs_equal_brute_force(spark):
     want = {(a, b) for a in vectors for b in vectors if a < b and sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) >= 0.8}
     assert {(r.a, r.b) for r in cleaning.similar_pairs(weights, 0.8).collect()} == want
     assert want
+
+
+def test_frontier_equals_a_breadth_first_search(spark, sf, tmp_path):
+    import re
+    from urllib.parse import unquote, urldefrag, urljoin, urlsplit
+
+    from tessella import catalog, vocab
+
+    chain = [(i, f"http://chain.org/{i:02}", f'<a href="/{i + 1:02}#x">next</a><a href="http://else.net?q">other</a>') for i in range(14)]
+    given = [*chain, (50, "http://else.net?q", '<a href="/doc.pdf">file</a>'), (51, "http://else.net/doc.pdf", ""), (52, "http://lone.com/%C3%A9", None)]
+    small = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(given, "page_id long, url string, html string").write.parquet(small)
+    for folder in (sf, str(tmp_path)):
+        rows = [(r.url, r.html or "") for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+        stored = {}
+        for url, html in rows:
+            stored.setdefault(unquote(url), html)
+        html_page = lambda u: not re.search(r"\.(?:" + "|".join(vocab.NOT_HTML) + r")$", urlsplit(u).path.lower())
+        least = {}
+        for url, _ in rows:
+            if html_page(url):
+                least[urlsplit(url).netloc] = min(least.get(urlsplit(url).netloc, url), url)
+        level, want = {unquote(u) for u in least.values()}, {}
+        for depth in range(11):
+            fetched = {u for u in level if u in stored}
+            want |= dict.fromkeys(fetched, depth)
+            found = {unquote(urldefrag(urljoin(u, x)).url) for u in fetched for x in re.findall(r'<a href="([^"]*)"', stored[u])}
+            level = {u for u in found if u not in want and html_page(u) and urlsplit(u).netloc in least}
+        got = catalog.crawl_frontier(spark, folder).collect()
+        assert len(got) >= len(least) > 0 and sorted(map(tuple, got)) == sorted(want.items())
+    assert max(want.values()) == 10
