@@ -945,17 +945,26 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 @query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g WHERE p IN ('memberOf', 'subgroupOf', 'type', 'name') GROUP BY p")
 def ntriples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema's triples written as N-Triples and read again."""
-    path = _folder(spark, "graph") + ".nt"
-    files.write_ntriples(_whole(spark, sf_dir).where(F.substring_index("p", "#", -1).isin("memberOf", "subgroupOf", "type", "name")), path)
-    return _described(files.read_graph(spark, path))
+    """The whole graph written as N-Triples and read again; the schema's properties are reported."""
+    return _reported(_described(_reread(spark, sf_dir, files.write_ntriples, ".nt")))
 
 
 @query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g WHERE p IN ('memberOf', 'subgroupOf', 'type', 'name') GROUP BY p")
 def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "graph") + ".ttl"
-    files.write_turtle(_whole(spark, sf_dir).where(F.substring_index("p", "#", -1).isin("memberOf", "subgroupOf", "type", "name")), path)
-    return _described(files.read_graph(spark, path))
+    """The whole graph written as Turtle and read again; the schema's properties are reported."""
+    return _reported(_described(_reread(spark, sf_dir, files.write_turtle, ".ttl")))
+
+
+def _reread(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str], None], suffix: str) -> DataFrame:
+    """The whole graph, as written to files and read from them."""
+    path = _folder(spark, "graph") + suffix
+    write(_whole(spark, sf_dir), path)
+    return files.read_graph(spark, path)
+
+
+def _reported(described: DataFrame) -> DataFrame:
+    """The properties that the queries' SQL lists."""
+    return described.where(F.col("property").isin("memberOf", "subgroupOf", "type", "name"))
 
 
 def _described(triples: DataFrame) -> DataFrame:

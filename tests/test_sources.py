@@ -1,5 +1,6 @@
 """Readers, writers, providers, the stream and the whole composition."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella import schemas, vocab
@@ -94,3 +95,12 @@ def test_empty_tables(spark):
     links = spark.createDataFrame([], "source string, relation string, target string")
     assert graph.build_graph(none, links).count() == 0
     assert graph.entity_mapping(none).count() == 0
+
+
+@pytest.mark.parametrize("write, suffix", [(files.write_ntriples, ".nt"), (files.write_turtle, ".ttl")])
+def test_whole_graph_is_written_and_read(spark, sf, write, suffix):
+    from tessella import catalog
+
+    got = catalog._described(catalog._reread(spark, sf, write, suffix)).collect()
+    want = catalog._described(catalog._whole(spark, sf)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {"participatedIn", "tookPlaceAt", "controls", "memberOf"} <= {r.property for r in got}
