@@ -169,3 +169,18 @@ def test_verdict(spark):
     runs = spark.createDataFrame(rows, "case_id string, observed array<string>, response string, latency_s double, errors array<string>, expected_tools array<string>, expected_keywords array<string>, forbidden_keywords array<string>")
     assert {r.case_id: r.passed for r in qa.evaluate(runs).collect()} == {"a": True, "b": False}
     assert qa.flatten_items(qa.to_messages([{"type": "message", "role": "user", "text": "q"}, {"type": "function_call", "call_id": "1", "name": "f"}])) == [{"type": "message", "role": "user", "text": "q"}, {"type": "function_call", "call_id": "1", "name": "f", "arguments": {}}]
+
+
+def test_trained_metrics_take_the_whole_graph(spark, sf, monkeypatch):
+    from tessella import catalog
+
+    train, seen = kge.train, {}
+
+    def short_training(dataset, config=kge.TRANSE):
+        seen.update(n=dataset.count(), config=config)
+        return train(dataset, kge.Config(dim=4, epochs=1))
+
+    monkeypatch.setattr(kge, "train", short_training)
+    (row,) = catalog.trained_metrics(spark, sf).collect()
+    assert seen == {"n": catalog._dataset(spark, sf).count(), "config": kge.TRANSE} and seen["n"] > 2000
+    assert 0 < row.mrr <= 1 and row.n_entities > 1000
