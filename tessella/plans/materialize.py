@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` through a reliable checkpoint in ``spark.checkpoint.dir``.
+def checkpoint_dir(sc: SparkContext) -> str:
+    """The session's checkpoint folder, or that of the setting.
 
-    A folder of our own is set only where neither the setting nor the session
-    names one.
+    Where neither is named, a local master gets a folder of its own; a cluster
+    is refused, as its executors don't share their disks.
     """
-    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` through a reliable checkpoint in the folder of :func:`checkpoint_dir`."""
+    checkpoint_dir(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
