@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, settled
 
 
 def _jump(parent: DataFrame) -> DataFrame:
@@ -24,6 +24,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest id of the component.  Null ends, loops and
     repeated edges are ignored; an empty table gives an empty one.
     """
+    return settled(lambda: _rounds(edges), "components")
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialise(edges, "edges")
