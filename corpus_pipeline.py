@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the whole of ``documents``, in the mix's order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = shared.materialise(stage(spark, docs, sf_dir), f"stage{i}")
-    return docs.orderBy("mix_position")
+
+    def after(i: int) -> DataFrame:
+        if i < 0:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        # Written and reread; what the stage before wrote is deleted then.
+        return shared.settled(lambda: STAGES[i][1](spark, after(i - 1), sf_dir), f"stage{i}")
+
+    return after(len(STAGES) - 1).orderBy("mix_position")
