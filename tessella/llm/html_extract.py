@@ -8,18 +8,28 @@ least) and nests: outermost first, a class must lie in one gap between tokens
 of the class around it, else it is dropped.  Vectors are compared by a 64-bit
 sum of mixed (page, count) pairs, and places by the mean of first and last
 positions, so a token needs no more than a few sums, whatever the host's size.
-
-The stretches of a page between the template's tokens are its slots.  A slot is main if
-its place in the nest is: within the article (or main) element where the page
-has one, else anywhere in the body, and never within menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments.  Text that is itself
-template is dropped.  Within an article it is so on hosts of ``ARTICLE_PAGES``
-pages or more, as few pages share words by chance or as copies; a page whose
+A path is a 64-bit digest of its parent's and its own label, so it has one
+size at any depth.
+
+The stretches of a page between the template's tags are its slots.  Text that
+is itself template is dropped, and so are slots that hold links for the most
+part; what remains in the others is the main text.  Where the page has an
+article (or main) element, its slots are those within.  Within an article, text
+counts as template only if nearly all of the host's pages (``ARTICLE_SHARE`` of
+``ARTICLE_PAGES`` or more) hold it, as copies share text too; a page whose
 article is template throughout keeps it.
+
+What the template cannot tell, as such parts vary from page to page as the
+article does, is told by elements: menus, footers, sidebars, adverts, notices,
+forms and reader comments, by tag or by a class, id or role made of nothing
+but such words.  An element that holds the page's main article is never one,
+nor is a form or header that holds most of the page's text, nor a header
+within an article.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -50,66 +60,101 @@ _CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"
 #: Elements and names whose content isn't the article's.
 _ASIDE_TAGS = frozenset("nav header footer aside form menu dialog select button head fieldset".split())
 _ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget related recommended popular trending share sharing social cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments disqus respond reply replies discussion pagination pager toolbar complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget widgets related recommended recommendations popular trending share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist disqus respond reply replies discussion pagination pager toolbar complementary contentinfo banner".split()
+)
+#: Words that may stand beside them in a name.
+_PLAIN_WORDS = frozenset(
+    "site page global main primary secondary left right top bottom upper lower inner outer box block wrap wrapper container section area region bar panel list item items links link row col column the post posts entry article user reader text image slot unit buttons button icons group zone form field input title heading content body policy message by more all sticky fixed mobile desktop js".split()
 )
+#: As an id alone these are anchors of an article's own sections.
+_ANCHOR_WORDS = frozenset("related discussion popular trending recommended recommendations search share sharing social promotion notice notices alert reply replies respond".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
-
-MOST_DEPTH = 64
-
-#: Pages of a host from which its template decides within articles too.
+#: Pages of a host from which its template decides within articles too, and the share of them.
 ARTICLE_PAGES = 8
-#: The token that every page of a host has; in a template, the host has ``ARTICLE_PAGES``.
+ARTICLE_SHARE = 0.9
+#: The token that every page of a host has: it counts the pages.
 _EVERY_PAGE = 0
 
 
 @dataclass
 class Run:
-    """A block of text: its pieces, its token, and its place."""
+    """A block of text: its pieces, its token, its slot, and the aside and article elements around it."""
 
     pieces: list[str]
-    path: str
-    aside: bool
-    article: bool
+    path: int
+    slot: int
+    within: tuple[int, ...]
     linked: int = 0
-    slot: int = 0
+    aside: bool = False
+    article: bool = False
+    words: str | None = None
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.pieces)).split())
+        if self.words is None:
+            self.words = " ".join(html.unescape("".join(self.pieces)).split())
+        return self.words
 
 
 @dataclass
 class _Open:
     tag: str
-    path: str
-    aside: bool
-    article: bool
+    path: int
+    within: tuple[int, ...]
 
 
 @dataclass
 class Page:
-    tokens: list[str] = field(default_factory=list)
+    tokens: list[int] = field(default_factory=list)
     runs: list[Run] = field(default_factory=list)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The tag with its names, and whether it opens something beside the article."""
-    if "=" not in attributes:
-        return tag, tag in _ASIDE_TAGS
-    names = " ".join(f"{m[1].lower()}:{m[2] or m[3] or m[4] or ''}" for m in _ATTRIBUTE.finditer(attributes))
-    words = {w.lower() for w in _NAME_PART.findall(re.sub(r"\b(class|id|role):", " ", names))}
-    return f"{tag}[{names}]" if names else tag, tag in _ASIDE_TAGS or (tag not in ("html", "body", "article", "main") or "comment" in words) and bool(words & _ASIDE_WORDS)
+_ASIDE, _FORM, _HEADER, _ARTICLE, _COMMENT = "aside", "form", "header", "article", "comment"
+
+
+def _all_aside(name: str, words: frozenset[str]) -> bool:
+    parts = [w.lower() for w in _NAME_PART.findall(name)]
+    return any(w in words for w in parts) and all(w in words or w in _PLAIN_WORDS for w in parts)
+
+
+@functools.lru_cache(maxsize=20_000)
+def _label(tag: str, attributes: str) -> tuple[str, str | None]:
+    """The tag with its names, and what kind of element it opens, if any."""
+    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
+    label = f"{tag}[{' '.join(map(':'.join, found))}]" if found else tag
+    names = [(kind, n) for kind, value in found for n in value.split()]
+    if tag in ("html", "body"):
+        return label, None
+    if any(_all_aside(n, _COMMENT_WORDS if kind != "id" else _COMMENT_WORDS - _ANCHOR_WORDS) for kind, n in names):
+        return label, _COMMENT
+    if tag in ("article", "main") or ("role", "main") in names:
+        return label, _ARTICLE
+    if tag in ("form", "fieldset", "header"):
+        return label, _HEADER if tag == "header" else _FORM
+    if tag in _ASIDE_TAGS:
+        return label, _ASIDE
+    if tag[0] == "h" and tag[1:].isdigit():
+        return label, None
+    for kind, n in names:
+        if _all_aside(n, _ASIDE_WORDS if kind != "id" else _ASIDE_WORDS - _ANCHOR_WORDS):
+            parts = {w.lower() for w in _NAME_PART.findall(n)}
+            return label, _HEADER if "header" in parts else _ASIDE
+    return label, None
 
 
 def read_page(source: str) -> Page:
     """The tokens and text runs of a page, in page order."""
     page = Page()
-    stack = [_Open("", "", False, False)]
+    stack = [_Open("", _EVERY_PAGE, ())]
+    opened: dict[str, int] = {}
+    kinds: list[str] = []
     run: Run | None = None
 
     def close_until(position: int) -> None:
-        for gone in stack[position:]:
-            page.tokens.append(gone.path + "/end")
+        for gone in reversed(stack[position:]):
+            page.tokens.append(_token(gone.path, "/"))
+            opened[gone.tag] -= 1
         del stack[position:]
 
     for piece in _PIECE.finditer(source):
@@ -119,12 +164,11 @@ def read_page(source: str) -> Page:
                 if piece[1].lower() in ("textarea", "title", "svg"):
                     run = None
             elif not piece[0].startswith(("<!", "<?")):
-                top = stack[-1]
                 if run is None:
-                    run = Run([], top.path, top.aside, top.article, slot=len(page.tokens))
+                    run = Run([], stack[-1].path, len(page.tokens), stack[-1].within)
                     page.runs.append(run)
                 run.pieces.append(piece[0])
-                if any(o.tag == "a" for o in stack[-3:]):
+                if opened.get("a"):
                     run.linked += len(piece[0].strip())
             continue
         tag = tag.lower()
@@ -133,15 +177,11 @@ def read_page(source: str) -> Page:
         if tag == "br" and run is not None:
             run.pieces.append(" ")
         if piece[2]:
-            if tag == "p" and not any(o.tag == "p" for o in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_until(i)
-                    break
+            if opened.get(tag):
+                close_until(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        label, aside = _label(tag, piece[4])
-        if tag in _CLOSES_P or tag in _CLOSES_SAME:
+        label, kind = _label(tag, piece[4])
+        if tag in _CLOSES_SAME or tag in _CLOSES_P and opened.get("p"):
             limits = _CLOSES_SAME.get(tag)
             for i in range(len(stack) - 1, 0, -1):
                 open_tag = stack[i].tag
@@ -151,16 +191,56 @@ def read_page(source: str) -> Page:
                 if open_tag in (limits or _BLOCKS):
                     break
         top = stack[-1]
-        # Past a depth, elements share a path: it stays short in pages that close nothing.
-        path = f"{top.path}/{label}" if len(stack) <= MOST_DEPTH else f"{stack[MOST_DEPTH - 1].path}/~/{label}"
+        path = _token(top.path, label)
         page.tokens.append(path)
         if tag not in _VOID and not piece[4].endswith("/") or tag == "a":
-            stack.append(_Open(tag, path, top.aside or aside, top.article or tag in ("article", "main") or "role:main" in label))
+            within = top.within
+            if kind is not None:
+                within = (*within, len(kinds))
+                kinds.append(kind)
+            stack.append(_Open(tag, path, within))
+            opened[tag] = opened.get(tag, 0) + 1
     close_until(1)
     page.runs = [r for r in page.runs if not "".join(r.pieces).isspace()]
+    _set_places(page.runs, kinds)
     return page
 
 
+def _set_places(runs: list[Run], kinds: list[str]) -> None:
+    """Which runs are beside the article and which are within one."""
+    if not kinds:
+        return
+    sizes = [0] * len(kinds)
+    total = 0
+    for r in runs:
+        n = sum(map(len, r.pieces)) - r.linked
+        total += n
+        for k in r.within:
+            sizes[k] += n
+    around: dict[int, tuple[int, ...]] = {}
+    for r in runs:
+        for i, k in enumerate(r.within):
+            around.setdefault(k, r.within[:i])
+    clear = lambda k: not any(kinds[o] == _COMMENT for o in around[k])
+    articles = [k for k in around if kinds[k] == _ARTICLE and clear(k)]
+    open_ones = [k for k in articles if not any(kinds[o] == _ASIDE for o in around[k])]
+    best = max(open_ones or articles, key=lambda k: (sizes[k], -k), default=None)
+    held = {best, *around[best]} if best is not None else set()
+    inside = set(articles)
+    whole = {k for k in around if kinds[k] in (_FORM, _HEADER) and best is None and 2 * sizes[k] > total}
+    headed = {k for k in around if kinds[k] == _HEADER and any(o in inside for o in around[k])}
+    beside = {k for k in around if kinds[k] != _ARTICLE} - held - whole - headed
+    for r in runs:
+        r.aside = any(k in beside for k in r.within)
+        r.article = any(k in inside for k in r.within)
+
+
+@functools.lru_cache(maxsize=200_000)
+def _token(path: int, label: str) -> int:
+    """The digest of a label under a path."""
+    return _hash(f"{path}/{label}")
+
+
 def _hash(token: str) -> int:
     return struct.unpack("<q", hashlib.blake2b(token.encode(), digest_size=8).digest())[0]
 
@@ -184,15 +264,18 @@ def host_column(url: str) -> Column:
 
 
 def page_tokens(page: Page) -> list[tuple[int, float]]:
-    """Hashed tokens with their place from 0 to 1; runs of text follow the tags."""
+    """Tokens with their place from 0 to 1; runs of text follow the tags."""
     n = max(1, len(page.tokens))
-    tags = [(_hash(t), i / n) for i, t in enumerate(page.tokens)]
-    return tags + [(_hash(f"{r.path}#{r.text()}"), (r.slot - 0.5) / n) for r in page.runs]
+    return [(t, i / n) for i, t in enumerate(page.tokens)] + [(_text_token(r), (r.slot - 0.5) / n) for r in page.runs]
+
+
+def _text_token(run: Run) -> int:
+    return _hash(f"{run.path}#{run.text()}")
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial occurrence vectors of each batch's tokens by host."""
-    for batch in batches:
+    """Partial occurrence vectors by host of the tokens of slices of bounded text."""
+    for batch in (part for whole in batches for part in slices(whole, 2, 10_000, 32_000_000)):
         sums: dict[tuple[str, int], list] = {}
         for host, url, source in zip(*(c.to_pylist() for c in batch.columns)):
             number = _hash(f"{url}\n{source}") & 0xFFFFFFFFFFFFFFFF
@@ -230,7 +313,10 @@ def _nested(classes: pd.Series) -> pd.Series:
 
 
 def templates(pages: DataFrame, url: str = "url", source: str = "html", least_tokens: int = 2, least_share: float = 0.5) -> DataFrame:
-    """``(host, tokens array<long>)``: the tokens of each host's valid classes, ``_EVERY_PAGE`` first if it has ``ARTICLE_PAGES``."""
+    """``(host, tokens array<long>, firm array<long>)``: the tokens of each host's valid classes.
+
+    ``firm`` are those that count within articles.
+    """
     known = pages.select(host_column(url).alias("host"), F.col(url).alias("url"), F.col(source).alias("html")).where("host is not null")
     parts = known.mapInArrow(_vectors, "host string, token long, vector long, pages long, total long, first double, last double")
     # Sums wrap around: each half of a vector is summed apart, so none overflows.
@@ -240,33 +326,34 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html", least_to
     sizes = token.where(F.col("token") == _EVERY_PAGE).select("host", F.col("pages").alias("of"))
     frequent = token.where(F.col("token") != _EVERY_PAGE).join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(2.0), F.lit(least_share) * F.col("of")))
     place = F.struct(F.round(F.col("first") / F.col("pages"), 9).alias("first"), F.round(F.col("last") / F.col("pages"), 9).alias("last"), "token")
-    classes = frequent.groupBy("host", "of", "hi", "lo", "pages", "total").agg(F.array_sort(F.collect_list(place)).alias("members"))
+    firm = (F.col("of") >= ARTICLE_PAGES) & (F.col("pages") >= F.lit(ARTICLE_SHARE) * F.col("of"))
+    classes = frequent.groupBy("host", "of", "hi", "lo", "pages", "total").agg(F.array_sort(F.collect_list(place)).alias("members")).withColumn("firm", firm)
     # At most as many tokens a host as twice those of a page: each is on half of the pages.
     valid = classes.where(F.size("members") >= least_tokens)
-    hosts = valid.groupBy("host", "of").agg(F.array_sort(F.collect_list(F.struct("members"))).alias("classes"))
-    enough = F.when(F.col("of") >= ARTICLE_PAGES, F.array(F.lit(_EVERY_PAGE).cast("long"))).otherwise(F.array().cast("array<long>"))
-    return hosts.select("host", F.concat(enough, _nested("classes")).alias("tokens"))
+    hosts = valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("members", "firm"))).alias("classes"))
+    tokens = hosts.select("host", _nested("classes").alias("tokens"), F.flatten(F.transform(F.filter("classes", lambda c: c["firm"]), lambda c: c["members"]["token"])).alias("firm"))
+    return tokens.select("host", "tokens", F.array_intersect("tokens", "firm").alias("firm"))
 
 
-def extract(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
+def extract(page: Page, template: frozenset[int] | set[int] = frozenset(), firm: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page under its host's template."""
     # Slots: the stretches between template tokens.
-    slot_of, slot = [], 0
+    slot_of, slot = [0], 0
     for token in page.tokens:
-        slot += _hash(token) in template
+        slot += token in template
         slot_of.append(slot)
     slots: dict[int, list[Run]] = {}
     for r in page.runs:
-        slots.setdefault(slot_of[r.slot - 1] if r.slot else 0, []).append(r)
-    own = lambda r: _hash(f"{r.path}#{r.text()}") not in template
+        slots.setdefault(slot_of[r.slot], []).append(r)
     article = any(r.article and not r.aside for r in page.runs)
-    decided = _EVERY_PAGE in template and any(r.article and not r.aside and own(r) for r in page.runs)
+    drop = firm if article else template
+    own = {id(r) for r in page.runs if not drop or _text_token(r) not in drop}
+    if article and not any(id(r) in own for r in page.runs if r.article and not r.aside):
+        own = {id(r) for r in page.runs}
     blocks = []
     for runs in slots.values():
-        if article:
-            chosen = [r for r in runs if r.article and not r.aside and (not decided or own(r))]
-        else:
-            chosen = [r for r in runs if not r.aside and own(r)]
+        chosen = [r for r in runs if not r.aside and id(r) in own and (r.article or not article)]
+        if not article:
             size = sum(len("".join(r.pieces)) for r in chosen)
             if size and sum(r.linked for r in chosen) > 0.5 * size:
                 chosen = []
@@ -292,17 +379,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
     joined = rows.withColumn("host", host_column("url")).join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left").drop("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[int]] = {}
+        known: dict[tuple, tuple] = {}
         for whole in batches:
             for batch in slices(whole, 2):
                 texts = []
-                for page_source, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    key = tuple(tokens or ())
+                for page_source, *lists in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                    key = tuple(tuple(tokens or ()) for tokens in lists)
                     if key not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[key] = frozenset(key)
-                    texts.append(extract(read_page(page_source or ""), known[key]))
+                        known[key] = tuple(map(frozenset, key))
+                    texts.append(extract(read_page(page_source or ""), *known[key]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "tokens").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "tokens", "firm").mapInArrow(run, "page_id long, url string, text string, n_chars long")

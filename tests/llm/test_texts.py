@@ -212,13 +212,73 @@ def test_template_decides_within_articles(spark):
     assert all(got[40 + i] == "Tsame\nOwn words of same.\nRead also our guide\nAlso same.\nJoin us today." for i in range(9))
 
 
-def test_equivalence_classes(spark):
-    rows = [(f"http://a.com/{i}", "<body><nav><i>x</i></nav>" + "<p>w</p>" * i + "</body>") for i in range(1, 5)]
-    found = html_extract.templates(spark.createDataFrame(rows, "url string, html string")).collect()
-    page = html_extract.read_page(rows[0][1])
-    tokens = {html_extract._hash(t): t for t in page.tokens}
-    named = {tokens[t] for t in found[0].tokens if t in tokens}
-    assert found[0].host == "a.com" and {"/body", "/body/nav", "/body/nav/i"} <= named
+def test_elements_around_and_within_articles():
+    text = lambda source: html_extract.extract(html_extract.read_page(source))
+    assert text("<article><header><h1>Title</h1></header><p>Body text.</article>") == "Title\nBody text."
+    assert text('<div class="page has-sidebar"><p>Whole article here.</div>') == "Whole article here."
+    assert text('<form id="aspnetForm"><nav>menu</nav><article><p>Inside.</article></form>') == "Inside."
+    assert text('<article><h2 id="related-work">Related</h2><section id="discussion"><p>Said.</section><div id="side-effects">None</div></article>') == "Related\nSaid.\nNone"
+    assert text("<body><form><p>A page that is one form.</p><nav>menu</nav></form></body>") == "A page that is one form."
+    assert text("<article><p>Own</p><section class=comments><article>A longer comment</article></section></article><aside><article>A longer teaser</article></aside>") == "Own"
+    assert text("<article><p>Own</p><div class='ad-slot'>Buy</div><p class=notice>Closed</p><form>Name</form><footer>By me</footer></article>") == "Own"
+    assert text('<body><a href="/x"><span><i><b>a link of many parts</b></i></span></a>Short</body>') == ""
+
+
+def test_deep_and_long_pages():
+    page = html_extract.read_page("<b>" * 5_000 + "deep" + "<p>x" * 5_000)
+    assert html_extract.extract(page) == "\n".join(["deep", *["x"] * 5_000])
+    assert len(set(page.tokens)) == len(set(html_extract.read_page("<b>" * 5_000 + "deep" + "<p>x" * 9_000).tokens)) == 10_002
+    long = "<article>" + "".join(f"<p>Paragraph {i} &amp; more</p>" for i in range(60_000)) + "</article>"
+    assert html_extract.extract(html_extract.read_page(long)).split("\n") == [f"Paragraph {i} & more" for i in range(60_000)]
+
+
+def brute_template(rows):
+    """Classes by whole occurrence vectors, and the same nesting, of one host's pages."""
+    pages = [html_extract.page_tokens(html_extract.read_page(source)) for source in rows]
+    counts = [Counter(t for t, _ in p) for p in pages]
+    vectors = {}
+    for t in set().union(*counts):
+        vector = tuple(c[t] for c in counts)
+        held = [[place for u, place in p if u == t] for p in pages if any(u == t for u, _ in p)]
+        if len(held) >= max(2, 0.5 * len(rows)):
+            vectors.setdefault(vector, []).append((round(sum(h[0] for h in held) / len(held), 9), round(sum(h[-1] for h in held) / len(held), 9), t))
+    return set(html_extract.nested([c for c in vectors.values() if len(c) > 1]))
+
+
+def test_templates_equal_brute_force(spark, sf):
+    rows = duckdb.connect().execute(f"select url, html from '{sf}/pages.parquet'").fetchall()
+    bare = "<html><body><div class=top>Welcome</div><ul>{items}</ul><div><p>Words of {n}.</p>{more}</div><i>end</i></body></html>"
+    rows += [(f"http://bare.org/{i}", bare.format(n=i, items="<li>x</li>" * (i % 3), more="<p>Extra</p>" * (i % 2))) for i in range(7)]
+    table = spark.createDataFrame(rows, "url string, html string")
+    hosts = {}
+    for host, source in table.select(html_extract.host_column("url"), "html").collect():
+        hosts.setdefault(host, []).append(source)
+    got = {r.host: set(r.tokens) for r in html_extract.templates(table).collect()}
+    want = {h: t for h, sources in hosts.items() if (t := brute_template(sources))}
+    assert {h: t for h, t in got.items() if t} == want and len(want["bare.org"]) > 5
+
+
+def test_template_changes_pages_without_articles(spark):
+    page = "<body><div>Welcome to our site, dear reader</div><div><p>Own {n}</p></div><div>All we offer, in one place</div></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(n=i)) for i in range(5)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    without = {i: html_extract.extract(html_extract.read_page(source)) for i, _, source in rows}
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(table).collect()}
+    assert all(got[i] == f"Own {i}" != without[i] for i in range(5))
+
+
+def test_templates_beyond_the_broadcast_are_joined(spark, sf, monkeypatch):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    want = sorted(map(tuple, html_extract.extract_main_text(table).collect()), key=str)
+    monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", -1)
+    assert sorted(map(tuple, html_extract.extract_main_text(table).collect()), key=str) == want
+
+
+def test_copies_within_articles_are_kept(spark):
+    page = "<body><article><p>Shared by most of the pages of this host.</p><p>Own words of {n}.</p></article></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(n=i) if i < 7 else f"<body><article><p>Other {i}</p></article></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Shared by most of the pages of this host.\nOwn words of {i}." for i in range(7))
 
 
 def test_nesting():
