@@ -97,6 +97,58 @@ def test_vectors(spark, chunk):
     assert embed_dedup.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_at_the_threshold_extremes_and_text_labels(spark):
+    tie, below = [49.0, 9.0, 3.0, 3.0], [48.9, 9.0, 3.0, 3.0]
+    rows = [(1, [50.0, 0.0, 0.0, 0.0], "x"), (2, tie, "x"), (3, tie, "y"), (4, [-50.0, 0.0, 0.0, 0.0], "y"), (5, below, "y"), (6, [50.0, 0.0, 0.0, 0.0], "y")]
+    rows += [(10, [1e-200, 2e-200, 0.0, 0.0], "e"), (11, [1e200, 2e200, 0.0, 0.0], "e"), (12, [2e200, -1e200, 0.0, 0.0], "e"), (13, [1e-300, 2e-300, 0.0, 0.0], "e")]
+    rows += [(20, [1.0, 0.0, 0.0, 1e-7], "n"), (21, [1.0, 0.0, 1e-7, 0.0], "n"), (22, [1.0, 1e-7, 0.0, 0.0], "n")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert [got[i] for i in range(1, 7)] == [(1, 1), (1, 1), (2, 3), (0, 4), (1, 3), (1, 3)]
+    assert [got[i] for i in range(10, 14)] == [(2, 10), (2, 10), (0, 12), (2, 10)]
+    assert [got[i] for i in range(20, 23)] == [(2, 20)] * 3
+    # Radii near zero: each key still names one cell.
+    close = {r.vec_id: r.n_links for r in embed_dedup.near_duplicate_vectors(spark.createDataFrame(rows[-3:], "vec_id long, embedding array<double>, label string"), cosine=1 - 1e-15).collect()}
+    assert set(close.values()) <= {0, 2} and len(close) == 3
+
+
+def test_the_grid_compares_few_pairs():
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    labels, vectors = table.column("label").to_numpy(), np.array(table.column("embedding").to_pylist(), dtype=float)
+    done = ordered = 0
+    for label in np.unique(labels):
+        unit = embed_dedup._unit(vectors[labels == label])
+        space = embed_dedup.Subspaces(unit.shape[1], 0.98, embed_dedup.choose_grid(unit.shape[1], 0.98, 220))
+        rotated = space.rotated(unit)
+        ordered += len(unit) * (len(unit) - 1)
+        for block, dims in enumerate(space.blocks):
+            cells = {}
+            for rows, keys, home in space.cells(rotated, block):
+                for row, key in zip(rows.tolist(), keys.tolist()):
+                    cells.setdefault(key, ([], []))[0 if home else 1].append(row)
+            args = rotated[:, dims], rotated[:, space.sort[block]], space.budgets[block]
+            for homes, visitors in cells.values():
+                for two in (None, np.array(visitors, dtype=int)):
+                    done += sum(n for _, _, n in embed_dedup.near_in_block(*args, np.array(homes, dtype=int), two)) if homes else 0
+    assert done < 0.4 * ordered
+
+
+def test_edges_of_a_dense_cell_are_linear():
+    rng = np.random.default_rng(2)
+    vectors = 1 + 1e-3 * rng.standard_normal((600, 16))
+    space = embed_dedup.Subspaces(16, 0.98, embed_dedup.Grid(2, 2, 4.0))
+    part = rng.integers(0, 6, 600)
+    edges, counts = [], np.zeros(600, dtype=int)
+    for i in range(6):
+        for j in range(i, 6):
+            for block in range(2):
+                rows = np.flatnonzero((part == i) | (part == j))
+                links = embed_dedup._Links(space, block, 0.98, vectors[rows], rows, np.ones(len(rows), dtype=int))
+                embed_dedup.task_links(links, np.ones(len(rows), dtype=bool), part[rows], i, j)
+                edges += [tuple(e) for x in links.edges for e in x.T.tolist()]
+                counts[rows] += links.counts
+    assert (counts == 599).all() and len(edges) <= 599 + 15 and len(set(roots(600, edges))) == 1
+
+
 def test_ranks(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 2).cast("string")).alias("g"))
     got = ranks.ranked(df, F.col("g"), F.md5(F.col("id").cast("string")), [F.col("id")])
