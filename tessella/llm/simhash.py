@@ -1,19 +1,22 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the
-vector of the segments' popcounts, packed into one long.  The Manhattan
-distance of two embeddings is a lower bound of the Hamming distance of the
-fingerprints, so fingerprints within ``max_bits`` have embeddings within
-``max_bits``.  The segments form ``max_bits + 3`` groups; an L1 distance of
-``max_bits`` touches that many groups at most, so at least three groups agree.
-The grid's cells are the embedding's coordinates on three groups (every choice
-of three): each linked pair meets in a cell.  Within a cell the Hamming
-distance is verified exactly.
+vector of the segments' popcounts.  A popcount is kept in unary (1 as 01, 2 as
+11), so the Manhattan distance of two embeddings is the number of bits in which
+their codes differ.  It is a lower bound of the fingerprints' Hamming distance:
+fingerprints within ``max_bits`` have embeddings within ``max_bits``.  The
+segments form ``max_bits + 3`` groups; a Manhattan distance of ``max_bits``
+touches that many groups at most, so at least three groups agree.  The grid's
+cells are the embedding's coordinates on three groups (every choice of three):
+each linked pair meets in a cell.  Within a cell, embeddings are range-joined
+under the Manhattan distance, and what is within ``max_bits`` is verified by
+the Hamming distance.
 
 Cells hold *distinct* fingerprints.  A cell with more than ``chunk`` of them is
-cut into blocks by hash and each pair of blocks becomes a task of its own, so
-no task holds an unbounded cell.  A task returns a spanning forest of the
-links that it found, never all pairs.
+cut into parts by hash and each pair of parts becomes a task of its own, so no
+task holds an unbounded cell.  A task returns a spanning forest of the links
+that it found, never all pairs: the trees within each part once, and between
+two parts one edge for each two trees that it joins.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
+from .shared import materialise, slices
 
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -59,7 +62,7 @@ def with_fingerprints(docs: DataFrame, column: str = "simhash", text: str = "tex
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             out = pa.array([fingerprint(t, width) for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, column])
 
@@ -74,38 +77,72 @@ def _group_masks(max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in full]
 
 
+_LOW = 0x5555555555555555
+
+
 def _cells(prints: DataFrame, max_bits: int) -> DataFrame:
     """``prints(fp)`` -> a row for each fingerprint and choice of groups."""
-    low = 0x5555555555555555
-    # Two bits hold a segment's popcount: 1 if one is set, 2 (the high bit) if both are.
-    packed = prints.select("fp", F.expr(f"shiftleft(shiftrightunsigned(fp, 1) & fp & {low}L, 1) | ((shiftrightunsigned(fp, 1) ^ fp) & {low}L)").alias("counts"))
-    choices = [F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for i, m in enumerate(_group_masks(max_bits))]
-    return packed.select("fp", F.inline(F.array(*choices)))
-
-
-def _forest(nodes: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges from one node of each component to its others."""
-    edges = []
-    todo = np.ones(len(nodes), dtype=bool)
-    for start in range(len(nodes)):
-        if not todo[start]:
+    coded = prints.select("fp", F.expr(f"shiftleft(shiftrightunsigned(fp, 1) & fp & {_LOW}L, 1) | ((shiftrightunsigned(fp, 1) | fp) & {_LOW}L)").alias("code"))
+    choices = [F.struct(F.lit(i).alias("grid"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for i, m in enumerate(_group_masks(max_bits))]
+    return coded.select("fp", F.inline(F.array(*choices)))
+
+
+def embedding(prints: np.ndarray) -> np.ndarray:
+    """The segments' popcounts of fingerprints, each in unary."""
+    bits = prints.view(np.uint64)
+    high, low = bits >> np.uint64(1) & np.uint64(_LOW), bits & np.uint64(_LOW)
+    return (high & low) << np.uint64(1) | high | low
+
+
+def _trees(prints: np.ndarray, max_bits: int) -> np.ndarray:
+    """For each fingerprint the first one of its component."""
+    codes, bits = embedding(prints), prints.view(np.uint64)  # a signed number's bits would be counted of its absolute value
+    root = np.full(len(prints), -1)
+    for start in range(len(prints)):
+        if root[start] >= 0:
             continue
-        todo[start] = False
+        root[start] = start
         front = np.array([start])
         while len(front):
-            rest = np.flatnonzero(todo)
-            near = np.zeros(len(rest), dtype=bool)
+            rest = np.flatnonzero(root < 0)
+            found = np.zeros(len(rest), dtype=bool)
             for part in np.array_split(front, -(-len(front) // 512)):
-                near |= (np.bitwise_count(nodes[part][:, None] ^ nodes[rest][None, :]) <= max_bits).any(axis=0)
-            front = rest[near]
-            todo[front] = False
-            edges += [(int(nodes[start]), int(nodes[i])) for i in front]
-    return edges
+                a, b = np.nonzero(np.bitwise_count(codes[part][:, None] ^ codes[rest][None, :]) <= max_bits)
+                found[b[np.bitwise_count(bits[part[a]] ^ bits[rest[b]]) <= max_bits]] = True
+            front = rest[found]
+            root[front] = start
+    return root
+
+
+def _star(prints: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """An edge from the first node of each component to each of its others."""
+    other = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([prints[root[other]], prints[other]], axis=1)
+
+
+def task_forest(prints: np.ndarray, part: np.ndarray, i: int, j: int, max_bits: int) -> np.ndarray:
+    """The edges that the task of parts ``i`` and ``j`` of a cell returns."""
+    root = _trees(prints, max_bits)
+    if i == j:
+        return _star(prints, root)
+    out, heads = [], []
+    for k in (i, j):
+        own = np.flatnonzero(part == k)
+        within = _trees(prints[own], max_bits)
+        heads.append(own[np.unique(within)])
+        if i == 0 and (k == j or j == 1):  # each part's own trees, by one task
+            out.append(_star(prints[own], within))
+    # One edge for each two trees of the parts that are one component here.
+    tops = np.concatenate(heads)
+    _, first = np.unique(root[tops], return_index=True)
+    of = dict(zip(root[tops[first]].tolist(), tops[first].tolist()))
+    rest = np.delete(tops, first)
+    return np.concatenate([*out, np.stack([prints[[of[r] for r in root[rest].tolist()]], prints[rest]], axis=1) if len(rest) else np.empty((0, 2), np.int64)])
 
 
 def _links_within_runs(rows: tuple[np.ndarray, ...], max_bits: int, few: int = 6) -> np.ndarray:
-    """``rows``: fingerprints and their sorted keys; whole runs of equal keys."""
-    fp, *key = rows
+    """``rows``: fingerprints, their parts and sorted keys; whole runs of equal keys."""
+    fp, own, *key = rows
     change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
     starts = np.concatenate([[0], change])
     lens = np.diff(np.concatenate([starts, [len(fp)]]))
@@ -113,12 +150,14 @@ def _links_within_runs(rows: tuple[np.ndarray, ...], max_bits: int, few: int = 6
     found = []
     short = ((lens > 1) & (lens <= few))[run]
     values, run = fp[short], run[short]
+    codes, bits = embedding(values), values.view(np.uint64)
     for step in range(1, min(few, len(values))):
         at = np.flatnonzero(run[:-step] == run[step:])
-        at = at[np.bitwise_count(values[at] ^ values[at + step]) <= max_bits]
+        at = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= max_bits]
+        at = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= max_bits]
         found.append(np.stack([values[at], values[at + step]], axis=1))
     for s, n in zip(starts[lens > few], lens[lens > few]):
-        found.append(np.array(_forest(fp[s : s + n], max_bits), dtype=np.int64).reshape(-1, 2))
+        found.append(task_forest(fp[s : s + n], own[s : s + n], int(key[2][s]), int(key[3][s]), max_bits))
     return np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
 
 
@@ -136,11 +175,11 @@ def _links_of_runs(max_bits: int):
             if not batch.num_rows:
                 continue
             rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            other = np.any([k != k[-1] for k in rows[1:]], axis=0)
+            other = np.any([k != k[-1] for k in rows[2:]], axis=0)
             cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if cut:
                 held.append(tuple(r[:cut] for r in rows))
-            if held and (cut or any(h[-1] != k[0] for h, k in zip(held[-1][1:], rows[1:]))):
+            if held and (cut or any(h[-1] != k[0] for h, k in zip(held[-1][2:], rows[2:]))):
                 yield flush()
                 held = []
             held.append(tuple(r[cut:] for r in rows))
@@ -159,7 +198,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 3, chunk: int = 4096) -
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: (F.col("parts") == 1) | (k != part))
     pairs = F.transform(other, lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j")))
-    tasks = tasks.select("fp", "grid", "cell", F.inline(pairs))
+    tasks = tasks.select("fp", part.alias("part"), "grid", "cell", F.inline(pairs))
     dealt = tasks.repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
     return dealt.mapInArrow(_links_of_runs(max_bits), "a long, b long")
 

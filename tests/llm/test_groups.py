@@ -52,8 +52,8 @@ def test_fingerprints(sf):
 @pytest.mark.parametrize("chunk", [4096, 8])
 def test_fingerprint_links(spark, chunk):
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 1 << 63, 30, dtype=np.int64)
-    values = list(base)
+    base = rng.integers(-(1 << 63), 1 << 63, 30, dtype=np.int64)
+    values = [*base, *(base ^ np.int64(-(1 << 63))), *(base ^ np.int64(-(1 << 63) | 5))]
     for v in base[:10]:
         for _ in range(12):
             flip = np.bitwise_or.reduce(np.int64(1) << rng.choice(64, rng.integers(1, 5), replace=False).astype(np.int64))
@@ -62,11 +62,45 @@ def test_fingerprint_links(spark, chunk):
     links = simhash.fingerprint_links(spark.createDataFrame([(int(v),) for v in values], "fp long"), chunk=chunk)
     at = {int(v): i for i, v in enumerate(values)}
     got = roots(len(values), [(at[r.a], at[r.b]) for r in links.collect()])
-    near = np.argwhere(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)
+    bits = values.view(np.uint64)
+    near = np.argwhere(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3)
     assert got == roots(len(values), [tuple(p) for p in near.tolist() if p[0] != p[1]])
     assert len(set(got)) > 10
 
 
+def test_the_manhattan_distance_is_a_lower_bound():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-(1 << 63), 1 << 63, (2, 5000), dtype=np.int64)
+    counts = lambda v: np.stack([np.bitwise_count(v.view(np.uint64) >> np.uint64(2 * i) & np.uint64(3)) for i in range(32)]).astype(int)
+    manhattan = np.abs(counts(a) - counts(b)).sum(axis=0)
+    assert (np.bitwise_count(simhash.embedding(a) ^ simhash.embedding(b)) == manhattan).all()
+    assert (manhattan <= (hamming := np.bitwise_count((a ^ b).view(np.uint64)))).all() and (manhattan < hamming).any()
+
+
+def test_edges_of_a_dense_cell_of_fingerprints_are_linear():
+    values = np.unique([(1 << i | 1 << j) for i in range(36) for j in range(i)])[:600].astype(np.int64)
+    part = np.arange(600) % 6
+    edges = []
+    for i in range(6):
+        for j in range(i + 1, 6):
+            rows = np.flatnonzero((part == i) | (part == j))
+            edges += simhash.task_forest(values[rows], part[rows], i, j, 3).tolist()
+    at = {v: k for k, v in enumerate(values.tolist())}
+    near = np.argwhere(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3).tolist()
+    assert len(edges) < 650 and roots(600, [(at[x], at[y]) for x, y in edges]) == roots(600, [p for p in near if p[0] != p[1]])
+
+
+def test_simhash_query_equals_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    prints = np.array([brute_fingerprint(r.text) for r in rows], dtype=np.uint64)
+    group = roots(len(rows), [p for p in np.argwhere(np.bitwise_count(prints[:, None] ^ prints[None]) <= 3).tolist() if p[0] != p[1]])
+    least = {}
+    for g, r in zip(group, rows):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    want = sorted((r.doc_id, f"{int(f):016x}", least[g]) for r, f, g in zip(rows, prints, group))
+    assert sorted(map(tuple, registry.op7_simhash_dedup(spark, sf).collect())) == want
+
+
 def test_simhash_rows(spark):
     text = "a clear enough text about some things that go on for a while in this place"
     rows = [(4, text, "x"), (2, text.upper(), "x"), (None, text, "x"), (9, None, "x"), (8, "", "x"), (8, "", "x"), (None, "other words entirely here", "x")]
