@@ -18,37 +18,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = "#*$%&|<>"
 _SYMBOL_BYTES = _SYMBOLS.encode()
-_SENTENCE_END = re.compile("[.!?…。！？।؟]")
+#: A mark that ends a sentence: before a space or the line's end, or one that other scripts write without a space.
+SENTENCE_END = r"""[.!?][\"'”’»)\]]*(?:\s|$)|[…。！？।॥؟۔։።]"""
+_SENTENCE_END = re.compile(SENTENCE_END)
+#: Letters of scripts that end sentences by spaces or marks of their own.
+UNMARKED = "[฀-࿿က-႟ក-៿]"
+_UNMARKED = re.compile(UNMARKED)
 _SEPARATORS = {b"|", "»".encode(), "›".encode(), "•".encode(), "·".encode(), b">", b"/"}
-#: Openings and phrases of lines that pages carry around their text.
+#: Phrases of lines that pages carry around their text; they are boilerplate in lines of up to twice their words.
 BOILERPLATE = (
+    "advertisement",
+    "newsletter",
+    "back to top",
+    "click here",
     "cookie policy",
-    "cookies policy",
-    "uses cookies",
-    "use of cookies",
+    "enable javascript",
+    "follow us",
+    "log in",
+    "lorem ipsum",
     "privacy policy",
-    "terms of use",
-    "terms of service",
-    "all rights reserved",
-    "click here",
     "read more",
-    "sign in",
-    "log in",
-    "subscribe to",
-    "newsletter",
-    "enable javascript",
-    "javascript is disabled",
     "share on",
-    "follow us",
+    "sign in",
     "skip to content",
-    "back to top",
-    "lorem ipsum",
-    "advertisement",
+    "subscribe to",
+    "terms of service",
+    "terms of use",
+    "all rights reserved",
+)
+#: And openings of longer ones.
+BOILERPLATE_OPENINGS = (
+    r"(?:this|our) (?:web)?site uses cookies\b",
+    r"we use cookies\b",
+    r"by (?:using|continuing to use) (?:this|our) (?:web)?site\b",
+    r"(?:click|tap) here to\b",
+    r"(?:please )?(?:sign|log) in to (?:continue|comment|post|reply)\b",
+    r"subscribe to our\b",
+    r"follow us on\b",
+    r"share this (?:article|page|post|story)? ?on\b",
+    r"(?:please )?enable javascript\b",
 )
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+BOILERPLATE_END = "all rights reserved"
+BOILERPLATE_BY_WORDS = {n: r"\b(?:" + "|".join(p for p in BOILERPLATE if len(p.split()) == n) + r")\b" for n in sorted({len(p.split()) for p in BOILERPLATE})}
+_BY_WORDS = [(2 * n, re.compile(p.encode())) for n, p in BOILERPLATE_BY_WORDS.items()]
+_OPENING = re.compile("|".join(BOILERPLATE_OPENINGS).encode())
 
 
 @dataclass(frozen=True)
@@ -62,6 +80,7 @@ class LineRules:
     least_words: int = 5  # for repeats, capitals and punctuation
     boilerplate_words: int = 40  # longer lines aren't boilerplate
     lost: float = 0.5  # of a document's bytes in words
+    fail_short: bool = True  # texts of fewer than 50 words; else their lines alone decide, if they have any
 
 
 def line_fails(line: bytes, words: list[bytes], rules: LineRules = LineRules()) -> str | None:
@@ -69,7 +88,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules = LineRules())
     n = len(words)
     if n >= 2 and sum(w in _SEPARATORS for w in words) >= max(2, rules.separators * n):
         return "navigation"
-    if n <= rules.boilerplate_words and _BOILERPLATE.search(line.lower()):
+    if n <= rules.boilerplate_words and _boilerplate(b" ".join(words).lower(), n):
         return "boilerplate"
     if len(line) - len(line.translate(None, _SYMBOL_BYTES)) >= rules.symbol_words * n and sum(len(w) != len(w.translate(None, _SYMBOL_BYTES)) for w in words) >= max(3, rules.symbol_words * n):
         return "symbols"
@@ -79,7 +98,12 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules = LineRules())
         return "repeats"
     if _capitals(line) >= rules.capitals:
         return "capitals"
-    return None if _SENTENCE_END.search(line.decode()) else "punctuation"
+    text = line.decode()
+    return None if _SENTENCE_END.search(text) or _UNMARKED.search(text) else "punctuation"
+
+
+def _boilerplate(line: bytes, n: int) -> bool:
+    return _OPENING.match(line) is not None or line.rstrip(b".").endswith(BOILERPLATE_END.encode()) or any(n <= most and phrase.search(line) for most, phrase in _BY_WORDS)
 
 
 def _capitals(line: bytes) -> float:
@@ -121,6 +145,7 @@ def measure(text: str | None, rules: LineRules = LineRules()) -> dict:
             lost += size
     repeated = repeat_words(words)
     base_failed = len(words) < 50 or 100 * repeated > 50 * len(words)
+    passes = not base_failed or not rules.fail_short and 0 < len(words) < 50
     return {
         "n_words": len(words),
         "word_chars": word_chars,
@@ -128,7 +153,7 @@ def measure(text: str | None, rules: LineRules = LineRules()) -> dict:
         "n_dup_lines": duplicates,
         "n_repeat_words": repeated,
         "base_failed": base_failed,
-        "kept": not base_failed and lost <= rules.lost * total,
+        "kept": passes and lost <= rules.lost * total,
         "lost_share": lost / total if total else 0.0,
     }
 
@@ -144,7 +169,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Li
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [measure(t, rules) for t in batch.column(1).to_pylist()]
             columns = [pa.array([r[c] for r in rows], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for c, t in _TYPES.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_TYPES])
@@ -158,7 +183,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             yield batch.filter(pa.array([measure(t, rules)["kept"] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -181,7 +206,7 @@ def keep_cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars",
     at, at_n = names.index(text), names.index(n_chars) if n_chars in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (part for batch in batches for part in slices(batch, at)):
             texts = whole.column(at).to_pylist()
             found = [measure(t, rules) for t in texts]
             batch = whole.filter(pa.array([m["kept"] for m in found], pa.bool_()))

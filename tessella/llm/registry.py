@@ -104,7 +104,9 @@ def _rules_sql() -> str:
     rules = quality_rules.LineRules()
     words = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
     symbol = "[#*$%&|<>]"
-    phrases = "|".join(quality_rules.BOILERPLATE)
+    told = " OR ".join(f"(n <= {2 * n} AND regexp_matches(lower(joined), '{p}'))" for n, p in quality_rules.BOILERPLATE_BY_WORDS.items())
+    told += f" OR regexp_matches(lower(joined), '^(?:{'|'.join(quality_rules.BOILERPLATE_OPENINGS)})') OR regexp_matches(lower(joined), '{quality_rules.BOILERPLATE_END}[.]*$')"
+    ends = quality_rules.SENTENCE_END.replace("'", "''")
     separators = ", ".join(f"'{x.decode()}'" for x in sorted(quality_rules._SEPARATORS))
     symbols_of = lambda c: f"length(regexp_replace({c}, '[^#*$%&|<>]', '', 'g'))"
     return f"""
@@ -115,12 +117,12 @@ often AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
 rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY k),
 ln AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT k, line, {words.format("line")} AS ws FROM ln),
-m AS (SELECT k, line, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda x: strlen(x))), 0) AS size,
+m AS (SELECT k, line, array_to_string(ws, ' ') AS joined, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda x: strlen(x))), 0) AS size,
   len(list_filter(ws, lambda x: x IN ({separators}))) AS seps, {symbols_of("line")} AS syms, len(list_filter(ws, lambda x: regexp_matches(x, '{symbol}'))) AS sw,
   len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS same, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS cased FROM lw WHERE len(ws) > 0),
-f AS (SELECT k, line, size, (n >= 2 AND seps >= greatest(2, {rules.separators} * n)) OR (n <= {rules.boilerplate_words} AND regexp_matches(lower(line), '{phrases}'))
+f AS (SELECT k, line, size, (n >= 2 AND seps >= greatest(2, {rules.separators} * n)) OR (n <= {rules.boilerplate_words} AND ({told}))
   OR (syms >= {rules.symbol_words} * n AND sw >= greatest(3, {rules.symbol_words} * n))
-  OR (n >= {rules.least_words} AND (same >= {rules.repeats} * n OR (cased > 0 AND up / cased >= {rules.capitals}) OR NOT regexp_matches(line, '[.!?…。！？।؟]'))) AS fails FROM m),
+  OR (n >= {rules.least_words} AND (same >= {rules.repeats} * n OR (cased > 0 AND up / cased >= {rules.capitals}) OR NOT regexp_matches(line, '{ends}|{quality_rules.UNMARKED}'))) AS fails FROM m),
 s AS (SELECT k, count(*) - count(DISTINCT line) AS dup, sum(size) AS total, sum(CASE WHEN fails THEN size ELSE 0 END) AS lost FROM f GROUP BY k),
 b AS (SELECT w.k, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, {symbols_of("text")} AS n_symbols,
   coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(total, 0) AS total FROM w LEFT JOIN s ON s.k = w.k LEFT JOIN rep ON rep.k = w.k)

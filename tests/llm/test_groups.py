@@ -287,7 +287,8 @@ def test_classifier(spark, sf):
 
 
 def brute_pipeline(rows):
-    kept = [r for r in rows if quality_rules.measure(r[1])["kept"]]
+    rules = quality_rules.LineRules(fail_short=False)
+    kept = [(i, quality_rules.cleaned(t)) for i, t in rows if quality_rules.measure(t, rules)["kept"]]
     prints = np.array([brute_fingerprint(r[1]) for r in kept], dtype=np.uint64)
     near = np.argwhere(np.bitwise_count(prints[:, None] ^ prints[None]) <= 3)
     group = roots(len(kept), [tuple(p) for p in near.tolist() if p[0] != p[1]])

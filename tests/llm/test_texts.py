@@ -114,10 +114,18 @@ def test_base_figures(texts):
 
 def test_lines():
     fails = {"home | about | news | contact": "navigation", "All rights reserved 2020.": "boilerplate", "these&& words%% carry## some$$ marks**": "symbols", "ALL OF THIS IS VERY LOUD!": "capitals", "again again again again again x.": "repeats", "there is no end to this line": "punctuation", "A plain sentence, as it should be.": None, "Short line": None, "これは 日本語 の 文 です。": None}
+    fails |= {"Scientists read more slowly when tired, a new study of sleep found.": None, "He found the privacy policy of the firm wanting.": None, "Read more": "boilerplate", "© 2020 Some Firm and Sons of Town. All rights reserved.": "boilerplate", "This site uses cookies to make your visit better.": "boilerplate"}
+    fails |= {"the rate is 3.5 million and rising": "punctuation", "ประเทศไทย มี ประชากร มาก และ อากาศ ร้อน": None, "She said: “It is done.”": None, "He blogs in the evening of most days.": None}
     for line, why in fails.items():
         assert quality_rules.line_fails(line.encode(), line.encode().split()) == why
 
 
+def test_texts_without_sentence_marks_are_kept():
+    words = "ประเทศ ไทย มี ประชากร มาก และ อากาศ ร้อน ใน ฤดู แล้ง เมือง".split()
+    text = "\n".join(" ".join(words[(i * j) % 12] + str(i * j) for j in range(12)) for i in range(1, 11))
+    assert quality_rules.measure(text)["kept"] and quality_rules.measure(text)["lost_share"] == 0
+
+
 def test_labels_agree(spark, sf):
     rows = duckdb.connect().execute(f"select text, quality from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id)").fetchall()
     kept = [(q, m["kept"]) for t, q in rows if not (m := quality_rules.measure(t))["base_failed"]]
