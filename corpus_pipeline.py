@@ -15,8 +15,11 @@ from tessella.llm import bpe, mixing, quality_rules, secret_scan, shared, simhas
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, without their failing lines."""
-    return quality_rules.keep_cleaned(docs)
+    """Documents that the line-first rules keep, without their failing lines.
+
+    A text of a few plain lines is no worse for being short: its lines decide.
+    """
+    return quality_rules.keep_cleaned(docs, rules=quality_rules.LineRules(fail_short=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
