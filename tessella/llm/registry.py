@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from . import bpe, chat, embed_dedup, html_extract, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_files
 
 
+#: The parts of the mix that each source is to have; a source that isn't named has one part.
+TARGET_PARTS = {f"src{i}": 6 if i < 4 else 3 if i < 10 else 2 for i in range(20)}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +61,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), TARGET_PARTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

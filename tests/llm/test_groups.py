@@ -214,13 +214,81 @@ def test_phases(sources):
     slots = {}
     for s in mixing.phases(blocks, parts):
         for k in range(s.n_blocks):
-            slot = s.first_slot + k // s.part * s.period + s.slots[k % s.part]
+            slot = s.first_slot + k // len(s.slots) * s.length + int(s.slots[k % len(s.slots)])
             assert slot not in slots
+            assert s.first_slot + k * s.period // s.part <= slot < s.first_slot - (-(k + 1) * s.period // s.part)
             slots[slot] = (s.source, s.first_block + k)
     assert sorted(slots) == list(range(sum(blocks)))
     assert sorted(slots.values()) == [(i, k) for i, b in enumerate(blocks) for k in range(b)]
 
 
+def brute_schedule(blocks, parts):
+    """Slot by slot over whole blocks; who runs out leaves, and the rest start anew."""
+    left, out, done = list(blocks), [], [0] * len(blocks)
+    while any(left):
+        active = [s for s in range(len(blocks)) if left[s]]
+        period, taken, now = sum(parts[s] for s in active), {s: 0 for s in active}, 0
+        while all(left[s] for s in active):
+            free = [(-(-(taken[s] + 1) * period // parts[s]), s) for s in active if taken[s] * period // parts[s] <= now]
+            s = min(free)[1]
+            out.append((s, done[s]))
+            taken[s], done[s], left[s], now = taken[s] + 1, done[s] + 1, left[s] - 1, now + 1
+            for t in active:  # less than one block from its share, in every phase
+                assert abs(taken[t] - now * parts[t] / period) < 1
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), min_size=1, max_size=6))
+def test_phases_equal_brute_force(sources):
+    blocks, parts = [b for b, _ in sources], [p for _, p in sources]
+    slots = {}
+    for s in mixing.phases(blocks, parts):
+        slots |= {s.first_slot + k // len(s.slots) * s.length + int(s.slots[k % len(s.slots)]): (s.source, s.first_block + k) for k in range(s.n_blocks)}
+    assert [slots[i] for i in range(sum(blocks))] == brute_schedule(blocks, parts)
+
+
+def test_many_sources_are_planned_in_seconds():
+    import time
+
+    rng = np.random.default_rng(4)
+    blocks, start = rng.integers(1, 3000, 1000).tolist(), time.perf_counter()
+    plan = mixing.phases(blocks, mixing.smoothed_parts(blocks))
+    assert sum(p.n_blocks for p in plan) == sum(blocks) and time.perf_counter() - start < 30
+
+
+def brute_positions(rows, weights, block_rows):
+    import hashlib
+
+    groups = {}
+    for i, source in rows:
+        groups.setdefault(source, []).append(i)
+    keys = sorted(groups, key=lambda k: "" if k is None else f"={k}")
+    for k in keys:
+        groups[k].sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    order = brute_schedule([-(-len(groups[k]) // block_rows) for k in keys], [weights.get(k, 1) for k in keys])
+    return {i: slot * block_rows + n for slot, (s, b) in enumerate(order) for n, i in enumerate(groups[keys[s]][b * block_rows : (b + 1) * block_rows])}
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_positions_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_STRETCHES", broadcast)
+    rows = [(i, "hot" if i % 3 else None if i % 4 == 0 else f"s{i % 5}") for i in range(700)]
+    weights = {"hot": 3, "s1": 2, None: 2}
+    got = {r.doc_id: r.mix_position for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=4).collect()}
+    assert got == brute_positions(rows, weights, 4)
+
+
+def test_more_sources_than_one_plan_holds(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i * i % 97}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, {"hot": 40}, block_rows=2, max_sources=10).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1500)) and len({r.mix_position for r in got}) == 1500
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    assert len({r.mix_slot for r in got}) == max(r.mix_slot for r in got) + 1
+    assert mixing.mix(docs, block_rows=2, max_sources=10).count() == 1500
+
+
 def test_mix(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 4}", "t") for i in range(900)] + [(None, None, "t"), (5, "hot", "t"), (5, "hot", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
@@ -310,11 +378,11 @@ def test_pipeline(spark, sf):
 def test_pipeline_follows_the_mix(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [(i, " ".join(f"w{i}x{j * j % (17 + i)}y{j}" for j in range(60 + 40 * (i % 9))) + " end.", "en", f"s{i % 3 if i % 4 else 0}", 5) for i in range(120)]
+    rows = [(i, " ".join(f"w{i}x{j * j % (17 + i)}y{j}" for j in range(60 + 40 * (i % 9))) + " end.", "en", f"src{i % 3 * 7 if i % 4 else 0}", 5) for i in range(120)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     order = [(r.doc_id, r.mix_position) for r in got.collect()]
-    want = {r.doc_id: r.mix_position for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    want = {r.doc_id: r.mix_position for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), registry.TARGET_PARTS).collect()}
     assert len(order) == 120 and order == sorted(want.items(), key=lambda x: x[1])
     got.write.parquet(f"{tmp_path}/out")
     files = sorted((tmp_path / "out").glob("part-*.parquet"))
