@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, quality_rules, secret_scan, shared, simhash
+from tessella.llm import bpe, mixing, quality_rules, registry, secret_scan, shared, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the sources' mix."""
-    return mixing.in_mixed_order(docs)
+    """All documents in the order of the sources' mix by the target weights."""
+    return mixing.in_mixed_order(docs, weights=registry.TARGET_PARTS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Spark rereads files in an order of its own, so the schedule is computed
     again: the same rows have the same positions.
     """
-    mixed = mixing.in_mixed_order(docs, keep_position=True).select("doc_id", "source", "mix_position", "text")
+    mixed = mixing.in_mixed_order(docs, keep_position=True, weights=registry.TARGET_PARTS).select("doc_id", "source", "mix_position", "text")
     return bpe.encode_documents(mixed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
