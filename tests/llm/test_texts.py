@@ -79,15 +79,40 @@ def test_token_files(spark, sf, odd, tmp_path):
         want.append((start, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
-    shard = manifest.first().shard
-    order = [x[0] for x in token_files.read_shard(folder, shard)]
-    assert [x[0] for x in token_files.read_shard(folder, shard, [1, 0])] == order[1::-1]
-    path = f"{tmp_path}/t/shards/{shard:05d}.rec"
+    name = manifest.first().name
+    order = [x[0] for x in token_files.read_shard(folder, name)]
+    assert [x[0] for x in token_files.read_shard(folder, name, [1, 0])] == order[1::-1]
+    path = f"{tmp_path}/t/shards/{name}.rec"
     broken = bytearray(open(path, "rb").read())
     broken[30] ^= 1
     open(path, "wb").write(bytes(broken))
     with pytest.raises(ValueError, match="broken"):
-        list(token_files.read_shard(folder, shard))
+        list(token_files.read_shard(folder, name))
+
+
+def test_memo_on_documents(texts):
+    encoder = token_files.WordMemoEncoder(P.path("byte_bpe_50k.json"))
+    words = ["don't stop, e.g. O'Neil's", "a\tb c\n\nd \n e", " lead", "tail \n", "naïve, œuvre; ŁÓDŹ!", "x_y z-- (ok) [no]", "ǅ ﬁ ª º µ ʼn ΑΒ", "\x1c a\x1c b", "end\t f"]
+    for t in [*texts, *words, *words, "\n".join(words)]:
+        assert np.frombuffer(encoder.encode([t])[0], "<u2").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_one_hot_id_and_many_shards(spark, tmp_path, monkeypatch):
+    rows = [(7 if i % 3 else None, f"{i * i % 1009} text of row {i}") for i in range(900)]
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, P.path("byte_bpe_50k.json"), f"{tmp_path}/t", 2)  # no scheme: Spark's own
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 900 and len(sizes) > 6 and max(sizes) < 300
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_token_files(f"{tmp_path}/t", manifest).collect())
+    tokenizer, start, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0, []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[1])):
+        n = len(tokenizer.encode(text).ids) + 1
+        want.append((start, doc_id, n))
+        start += n
+    assert [(s, d or 0, n) for s, d, n in got] == [(s, d or 0, n) for s, d, n in want]
+    with pytest.raises(ValueError, match="scheme"):
+        list(token_files.read_shard(f"{tmp_path}/t", manifest.first().name))
 
 
 def test_token_files_of_nothing(spark, odd, tmp_path):
