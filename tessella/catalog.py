@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,13 +150,14 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in vocab.STOP_WORDS)
-_WEIGHTS = rf"""f AS (SELECT doc_id AS ord, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
-tok AS (SELECT ord, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS ws FROM f),
+_TEXTS = "f AS (SELECT doc_id AS ord, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"
+_VECTORS = rf"""tok AS (SELECT ord, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS ws FROM f),
 term AS (SELECT ord, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM tok),
 tf AS (SELECT ord, term, count(*) AS tf FROM term GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
 raw AS (SELECT ord, tf.term, df, tf * (ln((1 + (SELECT count(*) FROM f)) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term)),
 wt AS (SELECT ord, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY ord)) AS w FROM raw)"""
+_WEIGHTS = f"{_TEXTS}, {_VECTORS}"
 
 
 @query(f"WITH {_WEIGHTS} SELECT ord, count(*) AS terms, round(sum(w), 4) AS weight, round(max(w), 4) AS heaviest FROM wt GROUP BY ord")
@@ -164,23 +166,32 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy("ord").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 4).alias("heaviest"))
 
 
-@query(
-    f"""WITH {_WEIGHTS},
-t AS (SELECT ord, term, w, sqrt(sum(w * w) OVER (PARTITION BY ord ORDER BY df DESC, term DESC ROWS UNBOUNDED PRECEDING)) AS tail FROM wt),
-c AS (SELECT DISTINCT x.ord AS a, y.ord AS b FROM t x JOIN t y ON x.term = y.term AND x.ord < y.ord WHERE x.tail >= 0.95 - 1e-9 AND y.tail >= 0.95 - 1e-9)
-SELECT a, b, round(sum(x.w * y.w), 4) AS cosine FROM c JOIN wt x ON x.ord = a JOIN wt y ON y.ord = b AND x.term = y.term GROUP BY a, b HAVING sum(x.w * y.w) >= 0.95"""
-)
+_PAIRS = """t AS (SELECT ord, term, w, sqrt(sum(w * w) OVER (PARTITION BY ord ORDER BY df DESC, term DESC ROWS UNBOUNDED PRECEDING)) AS tail FROM wt),
+c AS (SELECT DISTINCT x.ord AS a, y.ord AS b FROM t x JOIN t y ON x.term = y.term AND x.ord < y.ord WHERE x.tail >= 0.95 - 1e-9 AND y.tail >= 0.95 - 1e-9),
+pairs AS MATERIALIZED (SELECT a, b, sum(x.w * y.w) AS cosine FROM c JOIN wt x ON x.ord = a JOIN wt y ON y.ord = b AND x.term = y.term GROUP BY a, b HAVING sum(x.w * y.w) >= 0.95)"""
+#: Page by page: one goes if an earlier one that stays is similar.
+_GREEDY = """later AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM pairs GROUP BY b),
+steps AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT later.k, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END FROM steps JOIN later ON later.k = steps.k + 1),
+gone AS (SELECT unnest(arg_max(gone, k)) AS ord FROM steps)"""
+
+
+@query(f"WITH {_WEIGHTS}, {_PAIRS} SELECT a, b, round(cosine, 4) AS cosine FROM pairs")
 def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = cleaning.term_weights(cleaning.drop_exact_duplicates(views.pages(spark, sf_dir)))
     return cleaning.similar_pairs(weights).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WEIGHTS}, {_PAIRS}, {_GREEDY} SELECT ord FROM f WHERE ord NOT IN (SELECT ord FROM gone)")
 def similar_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_similar(cleaning.drop_exact_duplicates(views.pages(spark, sf_dir))).select("ord")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PAGES}, {_CLEAN}, {_FIRSTS}, f AS (SELECT ord, text FROM firsts), {_VECTORS}, {_PAIRS}, {_GREEDY},
+kept AS (SELECT ord, url, title, {_cut_sql('text', vocab.CUTOFFS)} AS text FROM firsts WHERE ord NOT IN (SELECT ord FROM gone))
+SELECT ord, url, CASE WHEN starts_with(title, 'Catégorie:') THEN right(title, length(title) - 10) ELSE title END AS title, length(text) AS n FROM kept WHERE length(text) >= 300"""
+)
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_corpus(views.pages(spark, sf_dir)).select("ord", "url", "title", F.length("text").alias("n"))
 
@@ -208,7 +219,7 @@ def admissible_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.admissible(pages.where(U.domain(F.col("url")).endswith(".example.com")), None, ["https://blog."])
 
 
-@query()
+@query(f"""SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || link AS link FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a href="(/[^"]*)"', 1)) AS link FROM pages)""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.links(views.table(spark, sf_dir, "pages"))
 
@@ -305,15 +316,15 @@ def accepted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synonym groups: each nation names its customers of even key."""
-    rows = views.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").join(views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """Synonym groups: each nation names its customers."""
+    rows = views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     listed = rows.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
     return listed.select(F.col("n_nationkey").cast("long").alias("ord"), F.array(F.struct(F.col("n_name").alias("canonical"), F.concat(F.transform("l", lambda x: x["c_name"]), F.array(F.lit("Customer shared"), F.lit("no (x)"), F.lit("ab"))).alias("synonyms"))).alias("synonyms"))
 
 
-_FLAT = """flat AS (SELECT n_nationkey::BIGINT AS ord, 0 AS sub, n_name AS canonical, n_name AS surface FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)
-  UNION ALL SELECT n_nationkey, c_custkey + 1, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0
-  UNION ALL SELECT n_nationkey, 1000000000, n_name, 'Customer shared' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)),
+_FLAT = """flat AS (SELECT n_nationkey::BIGINT AS ord, 0 AS sub, n_name AS canonical, n_name AS surface FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)
+  UNION ALL SELECT n_nationkey, c_custkey + 1, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_nationkey, 1000000000, n_name, 'Customer shared' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)),
 rev AS (SELECT lower(surface) AS key, arg_max(canonical, (ord, sub)) AS canonical FROM flat GROUP BY 1),
 al AS (SELECT canonical, list_sort(list_distinct(list(surface))) AS names FROM flat GROUP BY 1)"""
 
@@ -324,7 +335,7 @@ def synonym_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_FLAT}, e AS (SELECT c_custkey AS ord, c_name AS text, CASE WHEN c_custkey % 3 = 0 THEN 'EVENT' ELSE 'CHARACTER' END AS type, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'u/' || c_custkey END AS source_url FROM customer),
+    f"""WITH {_FLAT}, e AS (SELECT c_custkey AS ord, c_name AS text, CASE WHEN c_custkey % 3 = 0 THEN 'EVENT' ELSE 'CHARACTER' END AS type, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'u/' || c_custkey END AS source_url FROM customer UNION ALL SELECT 1000000000 + s_suppkey, s_name, 'ORGANIZATION', 's/' || s_suppkey FROM supplier),
 h AS (SELECT e.*, canonical FROM e LEFT JOIN rev ON lower(text) = key),
 k AS (SELECT coalesce(canonical, text) AS text, canonical IS NOT NULL AS known, arg_min(type, ord) AS type, arg_min(source_url, ord) AS fu, arg_min(source_url, ord) FILTER (source_url <> '') AS u FROM h GROUP BY 1, 2)
 SELECT coalesce(k.text, al.canonical) AS text, coalesce(type, 'CONCEPT') AS type, coalesce(CASE WHEN known THEN u ELSE fu END, '') AS source_url,
@@ -334,7 +345,8 @@ FROM k FULL JOIN al ON k.text = al.canonical AND known"""
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer")
     named = c.select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("text"), F.when(F.col("c_custkey") % 3 == 0, "EVENT").otherwise("CHARACTER").alias("type"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("u/"), F.col("c_custkey").cast("string"))).alias("source_url"))
-    merged = entities.merge_entities(named, _groups(spark, sf_dir))
+    others = views.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000000).alias("ord"), F.col("s_name").alias("text"), F.lit("ORGANIZATION").alias("type"), F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("source_url"))
+    merged = entities.merge_entities(named.unionByName(others), _groups(spark, sf_dir))
     return merged.select("text", "type", "source_url", F.size("aliases").cast("long").alias("n_aliases"), F.array_join("aliases", "|").alias("aliases"))
 
 
@@ -388,11 +400,11 @@ def merged_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("source", "relation", "target", "frequency", "ord", F.size("source_urls").cast("long").alias("n_urls"))
 
 
-_KNOWN = "known AS (SELECT lower(s_name) AS name FROM supplier UNION SELECT DISTINCT lower(p_name) FROM part WHERE p_size < 25)"
+_KNOWN = "known AS (SELECT lower(s_name) AS name FROM supplier UNION SELECT DISTINCT lower(p_name) FROM part)"
 
 
 def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("text")).union(views.table(spark, sf_dir, "part").where("p_size < 25").select("p_name"))
+    names = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("text")).union(views.table(spark, sf_dir, "part").select("p_name"))
     return relations.confirm(_merged(spark, sf_dir), relations.known_names(names))
 
 
@@ -484,12 +496,12 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pages(spark, sf_dir).select("ord", T.slug(F.col("title")).alias("slug"))
 
 
-_MAPPED = f"SELECT n_nationkey AS ord, 'location_' || {_SLUG.format('n_name')} AS eid, n_name, c FROM nation LEFT JOIN (SELECT c_nationkey, list(c_name ORDER BY c_custkey) AS c FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) ON c_nationkey = n_nationkey"
+_MAPPED = f"SELECT n_nationkey AS ord, 'location_' || {_SLUG.format('n_name')} AS eid, n_name, c FROM nation LEFT JOIN (SELECT c_nationkey, list(c_name ORDER BY c_custkey) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey"
 
 
 @query(f"WITH e AS ({_MAPPED}), k AS (SELECT ord, eid, 0 AS pos, lower(n_name) AS key FROM e UNION ALL SELECT ord, eid, 1, lower(unnest(c)) FROM e UNION ALL SELECT ord, eid, 2, 'shared' FROM e) SELECT key, arg_max(eid, (ord, pos)) AS eid FROM k GROUP BY key")
 def entity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("c"))
+    c = views.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("c"))
     n = views.table(spark, sf_dir, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     aliases = F.concat(F.coalesce("c", F.array().cast("array<string>")), F.array(F.lit("Shared")))
     return graph.entity_mapping(n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("text"), F.lit("LOCATION").alias("type"), aliases.alias("aliases")))
@@ -713,11 +725,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _COS = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 
 
-@query(f"WITH v AS (SELECT vec_id, embedding AS e, sqrt({_COS.format('embedding', 'embedding')}) + 1e-8 AS n FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, {_COS.format('q.e', 'v.e')} / (q.n * v.n) AS cosine FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (0, 70, 140, 210, 280, 350, 420)) SELECT query, id, round(cosine, 4) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id)::INT AS rank FROM s) WHERE rank <= 5")
+@query(f"WITH v AS (SELECT vec_id, embedding AS e, sqrt({_COS.format('embedding', 'embedding')}) + 1e-8 AS n FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, {_COS.format('q.e', 'v.e')} / (q.n * v.n) AS cosine FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) SELECT query, id, round(cosine, 4) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id)::INT AS rank FROM s) WHERE rank <= 5")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    seeds = spark.range(0, 421, 70)
-    return kge.nearest(seeds, v).select("query", "id", F.round("cosine", 4).alias("cosine"), "rank")
+    return kge.nearest(v.where("id % 100 = 0").select("id"), v).select("query", "id", F.round("cosine", 4).alias("cosine"), "rank")
 
 
 _L1 = "-list_sum(list_transform(list_zip(a.e, r.e, b.e), lambda x: abs(x[1]::DOUBLE + x[2]::DOUBLE - x[3]::DOUBLE)))"
@@ -736,16 +747,19 @@ def predicted_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kge.predict_tails(_tail_queries(e, spark, sf_dir), e, r).select("h", "r", "rank", "t", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_SCORED}, t AS (SELECT h, r, t, score FROM sc WHERE t = (h + 7) % 500), rk AS (SELECT x.h, 1 + sum((y.score > x.score)::INT) + sum((y.score = x.score AND y.t <> x.t)::INT) / 2 AS rank FROM t x JOIN sc y ON x.h = y.h AND x.r = y.r WHERE y.t = x.t OR y.t <> (x.h + 1) % 500 GROUP BY x.h) SELECT round(avg(1 / rank), 6) AS mrr, avg((rank <= 1)::INT)::DOUBLE AS hits1, avg((rank <= 3)::INT)::DOUBLE AS hits3, avg((rank <= 10)::INT)::DOUBLE AS hits10 FROM rk")
+@query(f"WITH {_SCORED}, t AS (SELECT h, r, t, score FROM sc WHERE t = (h + 7) % (SELECT count(*) FROM v)), rk AS (SELECT x.h, 1 + sum((y.score > x.score)::INT) + sum((y.score = x.score AND y.t <> x.t)::INT) / 2 AS rank FROM t x JOIN sc y ON x.h = y.h AND x.r = y.r WHERE y.t = x.t OR y.t <> (x.h + 1) % (SELECT count(*) FROM v) GROUP BY x.h) SELECT round(avg(1 / rank), 6) AS mrr, avg((rank <= 1)::INT)::DOUBLE AS hits1, avg((rank <= 3)::INT)::DOUBLE AS hits3, avg((rank <= 10)::INT)::DOUBLE AS hits10 FROM rk")
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, r = _vectors(spark, sf_dir)
-    asked = _tail_queries(e, spark, sf_dir)
-    test, known = (asked.select("h", "r", ((F.col("h") + d) % 500).cast("int").alias("t")) for d in (7, 1))
+    asked, n = _tail_queries(e, spark, sf_dir), e.count()
+    test, known = (asked.select("h", "r", ((F.col("h") + d) % n).cast("int").alias("t")) for d in (7, 1))
     found = kge.ranking_metrics(kge.tail_ranks(test, test.union(known), e, r))
     return found.select(F.round("mrr", 6).alias("mrr"), "hits1", "hits3", "hits10")
 
 
-@query()
+_ROTATED = "-list_sum(list_transform(range(1, 33), lambda i: sqrt(pow(a.e[i]::DOUBLE * r.e[i] - a.e[i + 32]::DOUBLE * r.e[i + 32] - b.e[i], 2) + pow(a.e[i]::DOUBLE * r.e[i + 32] + a.e[i + 32]::DOUBLE * r.e[i] - b.e[i + 32], 2))))"
+
+
+@query(f"WITH {_SCORED.replace(_L1, _ROTATED)} SELECT h::INT AS h, r::INT AS r, rank, t::INT AS t, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY h, r ORDER BY score DESC, t)::INT AS rank FROM sc) WHERE rank <= 5")
 def rotation_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors' halves as real and imaginary parts."""
     e, r = _vectors(spark, sf_dir)
@@ -758,16 +772,26 @@ def vector_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kge.plane(views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
-@query()
-def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A translation model of the whole star graph, of the trainer's own configuration, ranked against all known triples."""
+#: The trainer's settings for the queries; rows are not cut, dimensions and epochs are parameters.
+_QUICK = {"dim": 64, "epochs": 20, "rate": 0.01, "batch": 1024}
+
+
+def _trained(spark: SparkSession, sf_dir: str, config: kge.Config) -> DataFrame:
     edges = checkpointed(sampling.stratified_split(_dataset(spark, sf_dir)))
-    e, r, facts = kge.train(edges, kge.TRANSE)
+    e, r, facts = kge.train(edges, config)
     e, r = checkpointed(e), checkpointed(r)
     ids = e.select("id", "label"), r.select("id", "label")
     known = sampling.numbered(edges, *ids)
     test = sampling.numbered(edges.where("split = 'test'"), *ids)
-    return kge.ranking_metrics(kge.tail_ranks(test, known, e, r)).withColumns({"n_entities": F.lit(facts["n_entities"]), "n_relations": F.lit(facts["n_relations"])})
+    metrics = kge.ranking_metrics(kge.tail_ranks(test, known, e, r))
+    return metrics.select(F.lit(config.model).alias("model"), "mrr", "hits1", "hits3", "hits10", F.lit(facts["n_entities"]).alias("n_entities"), F.lit(facts["n_relations"]).alias("n_relations"))
+
+
+@query()
+def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models of the whole star graph, ranked against all known triples."""
+    one, two = (_trained(spark, sf_dir, replace(config, **_QUICK)) for config in (kge.TRANSE, kge.ROTATE))
+    return one.unionByName(two)
 
 
 # Questions
@@ -926,7 +950,7 @@ def _offline_answer(prompt: str) -> str:
     return json.dumps([{"name": n, "type": "ARTIFACT" if len(n) % 2 else "CONCEPT"} for n in names])
 
 
-@query()
+@query(f"SELECT page_id, CASE WHEN {_DOMAIN} LIKE '%.org' THEN NOT starts_with({_PATH}, '/en/') ELSE {_DOMAIN} LIKE '%.com' END AS allowed FROM pages")
 def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.table(spark, sf_dir, "pages").select("page_id", "url")
     rules_text = F.when(U.domain(F.col("url")).endswith(".org"), "User-agent: *\nDisallow: /en/").when(U.domain(F.col("url")).endswith(".com"), "User-agent: *\nAllow: /")
@@ -943,16 +967,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g WHERE p IN ('memberOf', 'subgroupOf', 'type', 'name') GROUP BY p")
+@query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g GROUP BY p")
 def ntriples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole graph written as N-Triples and read again; the schema's properties are reported."""
-    return _reported(_described(_reread(spark, sf_dir, files.write_ntriples, ".nt")))
+    """The whole graph written as N-Triples and read again; all its properties are described."""
+    return _described(_reread(spark, sf_dir, files.write_ntriples, ".nt"))
 
 
-@query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g WHERE p IN ('memberOf', 'subgroupOf', 'type', 'name') GROUP BY p")
+@query(f"WITH {_WHOLE} SELECT p AS property, count(*) AS n, sum(length(o))::BIGINT AS size FROM g GROUP BY p")
 def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole graph written as Turtle and read again; the schema's properties are reported."""
-    return _reported(_described(_reread(spark, sf_dir, files.write_turtle, ".ttl")))
+    """The whole graph written as Turtle and read again; all its properties are described."""
+    return _described(_reread(spark, sf_dir, files.write_turtle, ".ttl"))
 
 
 def _reread(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str], None], suffix: str) -> DataFrame:
@@ -962,11 +986,6 @@ def _reread(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str],
     return files.read_graph(spark, path)
 
 
-def _reported(described: DataFrame) -> DataFrame:
-    """The properties that the queries' SQL lists."""
-    return described.where(F.col("property").isin("memberOf", "subgroupOf", "type", "name"))
-
-
 def _described(triples: DataFrame) -> DataFrame:
     size = F.length(F.when(F.col("o_kind") == "iri", F.substring_index("o", "#", -1)).otherwise(F.col("o")))
     return triples.groupBy(F.substring_index("p", "#", -1).alias("property")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("size"))

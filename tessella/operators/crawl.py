@@ -5,6 +5,7 @@ Fetching is a source's matter; these operators decide what is fetched next.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -46,14 +47,14 @@ def parsed(pages: DataFrame, main_text=None) -> DataFrame:
     return pages.select("url", T.html_title(F.col("html")).alias("title"), body.alias("html" if main_text is None else "text"))
 
 
-def crawl(pages: DataFrame, seeds: list[str], prefixes: list[str] = (), robots: DataFrame | None = None, agent: str = "tessella/1.0", max_depth: int = 10) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str], prefixes: list[str] = (), robots: DataFrame | None = None, agent: str = "tessella/1.0", max_depth: int | None = None) -> DataFrame:
     """``(url, depth)`` of the pages that a breadth-first crawl fetches.
 
     Level by level: the frontier is joined with the pages (a page that is
     absent failed and isn't marked visited), its links are filtered and those
     already seen are dropped.  ``robots(domain, rules)`` gates each domain; a
-    domain without rules is closed.  Ends when the frontier is empty or at
-    ``max_depth``.
+    domain without rules is closed.  Ends when the frontier is empty, or past
+    ``max_depth`` if it is given.
     """
     spark = pages.sparkSession
     domains = sorted({re.split("[/?#]", s.split("://", 1)[-1], maxsplit=1)[0] for s in seeds})
@@ -61,7 +62,7 @@ def crawl(pages: DataFrame, seeds: list[str], prefixes: list[str] = (), robots:
     frontier = spark.createDataFrame([(s,) for s in seeds], "url string").select(U.decoded("url").alias("url")).distinct()
     frontier = checkpointed(admissible(frontier, domains, prefixes))
     visited = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
         if robots is not None:
             gated = frontier.withColumn("domain", U.domain(F.col("url"))).join(robots, "domain", "left")
             frontier = gated.where(U.robots_allow(F.col("rules"), agent, F.col("url"))).select("url")

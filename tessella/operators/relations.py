@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella import schemas, vocab
@@ -14,8 +15,10 @@ _RELATIONS = f"ARRAY<{schemas.RELATION}>"
 def entity_prompts(entities: DataFrame, most: int = 60) -> DataFrame:
     """``(url, prompt)``: the first ``most`` entities of each page as "name (type)"."""
     item = F.struct("ord", F.concat("text", F.lit(" ("), "type", F.lit(")")).alias("s"))
-    listed = F.slice(F.array_sort(F.collect_list(item)), 1, most)
-    return entities.groupBy(F.col("source_url").alias("url")).agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("prompt"))
+    # Ranked before they are gathered: a page with many entities passes on ``most`` of each task.
+    place = F.row_number().over(W.partitionBy("source_url").orderBy("ord", "text", "type"))
+    first = entities.withColumn("__place", place).where(F.col("__place") <= most)
+    return first.groupBy(F.col("source_url").alias("url")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), ", ").alias("prompt"))
 
 
 def parse_relations(raw: Column) -> Column:
@@ -91,8 +94,11 @@ def canonicalize(relations: DataFrame, resolved: DataFrame) -> DataFrame:
     """``relations(ord, ...)`` with resolved ends, merged again: frequencies summed, URLs united and sorted."""
     rows = relations.join(resolved.toDF("source", "s"), "source").join(resolved.toDF("target", "t"), "target")
     key = [F.lower("s").alias("ls"), "relation", F.lower("t").alias("lt")]
-    urls = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_urls"))))
-    merged = rows.groupBy(*key).agg(F.min(F.struct("ord", "s", "t")).alias("first"), F.sum("frequency").alias("frequency"), urls.alias("source_urls"))
+    # URLs are made distinct before they are gathered, one row each.
+    merged = rows.groupBy(*key).agg(F.min(F.struct("ord", "s", "t")).alias("first"), F.sum("frequency").alias("frequency"))
+    each = rows.select(*key, F.explode("source_urls").alias("url")).distinct()
+    urls = each.groupBy("ls", "relation", "lt").agg(F.array_sort(F.collect_list("url")).alias("source_urls"))
+    merged = merged.join(urls, ["ls", "relation", "lt"], "left").withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
     return merged.select(F.col("first.s").alias("source"), "relation", F.col("first.t").alias("target"), "source_urls", "frequency", F.col("first.ord").alias("ord"))
 
 

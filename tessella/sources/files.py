@@ -123,7 +123,8 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     not blank nodes, collections or object lists.
     """
     prefix_lines = spark.read.text(path).where(F.col("value").rlike(_PREFIX))
-    prefixes = {r.n: r.iri for r in prefix_lines.select(F.regexp_extract("value", _PREFIX, 1).alias("n"), F.regexp_extract("value", _PREFIX, 2).alias("iri")).limit(1000).collect()}
+    # A file's vocabulary: names that its author wrote by hand.
+    prefixes = {r.n: r.iri for r in prefix_lines.select(F.regexp_extract("value", _PREFIX, 1).alias("n"), F.regexp_extract("value", _PREFIX, 2).alias("iri")).distinct().collect()}
     blocks = spark.read.option("lineSep", " .\n").text(path)
     body = F.regexp_replace(F.regexp_replace("value", _PREFIX, ""), r"^\s*(@prefix[^\n]*\n?\s*)*", "")
     split = blocks.select(body.alias("b")).where("b rlike '\\\\S'").select(F.regexp_extract("b", r"^\s*(\S+)\s", 1).alias("s"), F.regexp_replace("b", r"^\s*\S+\s+", "").alias("rest"))

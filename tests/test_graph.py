@@ -2,6 +2,7 @@
 
 import difflib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -174,13 +175,40 @@ def test_verdict(spark):
 def test_trained_metrics_take_the_whole_graph(spark, sf, monkeypatch):
     from tessella import catalog
 
-    train, seen = kge.train, {}
+    train, seen = kge.train, []
 
     def short_training(dataset, config=kge.TRANSE):
-        seen.update(n=dataset.count(), config=config)
-        return train(dataset, kge.Config(dim=4, epochs=1))
+        seen.append((dataset.count(), config.model, config.negatives, config.margin))
+        return train(dataset, kge.Config(config.model, dim=4, epochs=1))
 
     monkeypatch.setattr(kge, "train", short_training)
-    (row,) = catalog.trained_metrics(spark, sf).collect()
-    assert seen == {"n": catalog._dataset(spark, sf).count(), "config": kge.TRANSE} and seen["n"] > 2000
-    assert 0 < row.mrr <= 1 and row.n_entities > 1000
+    rows = catalog.trained_metrics(spark, sf).collect()
+    n = catalog._dataset(spark, sf).count()
+    assert seen == [(n, c.model, c.negatives, c.margin) for c in (kge.TRANSE, kge.ROTATE)] and n > 2000
+    assert [r.model for r in rows] == ["transe", "rotate"] and all(0 < r.mrr <= 1 and r.n_entities > 1000 for r in rows)
+
+
+@pytest.mark.parametrize("model", ["transe", "rotate"])
+def test_ranks_equal_brute_force(spark, model):
+    rng = np.random.default_rng(6)
+    n, k = 40, 6
+    parts = [rng.integers(-2, 3, (n, k)).astype(float) for _ in range(2)]  # whole numbers: many ties
+    rel = [rng.integers(-2, 3, (3, k)).astype(float) for _ in range(2)]
+    rows = lambda re, im: [(i, f"x{i}", a.tolist(), b.tolist() if model == "rotate" else []) for i, (a, b) in enumerate(zip(re, im))]
+    schema = "id int, label string, re array<float>, im array<float>"
+    e, r = spark.createDataFrame(rows(*parts), schema), spark.createDataFrame(rows(*rel), schema)
+    known = sorted({tuple(map(int, x)) for x in np.stack([rng.integers(0, n, 120), rng.integers(0, 3, 120), rng.integers(0, n, 120)], axis=1)})
+    test = known[::3]
+    frame = lambda x: spark.createDataFrame(x, "h int, r int, t int")
+    got = {(x.h, x.r, x.t): x["rank"] for x in kge.tail_ranks(frame(test), frame(known), e, r, block_rows=9).collect()}
+
+    def distance(h, q, t):
+        if model == "transe":
+            return np.abs(parts[0][h] + rel[0][q] - parts[0][t]).sum()
+        z = (parts[0][h] + 1j * parts[1][h]) * (rel[0][q] + 1j * rel[1][q]) - (parts[0][t] + 1j * parts[1][t])
+        return round(float(np.sqrt(z.real**2 + z.imag**2).sum()), 9)
+
+    for h, q, t in test:
+        others = [distance(h, q, x) for x in range(n) if x != t and (h, q, x) not in known]
+        own = distance(h, q, t)
+        assert got[h, q, t] == 1 + sum(o < own for o in others) + sum(o == own for o in others) / 2
