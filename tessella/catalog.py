@@ -773,7 +773,7 @@ def vector_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The trainer's settings for the queries; rows are not cut, dimensions and epochs are parameters.
-_QUICK = {"dim": 64, "epochs": 20, "rate": 0.01, "batch": 1024}
+_QUICK = {"dim": 32, "epochs": 8, "rate": 0.02, "batch": 1024}
 
 
 def _trained(spark: SparkSession, sf_dir: str, config: kge.Config) -> DataFrame:
