@@ -23,6 +23,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import slices
 
 LEAF_CHARS = 1024
+#: The characters of Unicode's White_Space, which the pattern's ``\\s`` means.
+WHITE_SPACE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 FIRST_WINDOW = 32
 
 
@@ -97,7 +100,7 @@ class TreeBpe:
 
 
 def _splits_at(text: str, at: int) -> bool:
-    return text[at].isspace() and not text[at - 1].isspace()
+    return text[at] in WHITE_SPACE and text[at - 1] not in WHITE_SPACE
 
 
 def _last_split(text: str, low: int, high: int) -> int | None:
@@ -132,15 +135,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for whole in batches:
-            for batch in slices(whole, 0):
-                ids = [bpe.encode(t or "") for t in batch.column(0).to_pylist()]
-                digests = [
-                    pa.array(map(len, ids), pa.int64(), size=len(ids)),
-                    pa.array([hashlib.sha256(" ".join(map(bpe.decimal_of.__getitem__, i)).encode()).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids], pa.string()),
-                ]
+            for batch in slices(whole, 0, 1024, 2_000_000):
+                ids, sizes, encoded, decoded = [], [], [], []
+                for t in batch.column(0).to_pylist():
+                    own = bpe.encode(t or "")  # as Python numbers, one text's at a time
+                    sizes.append(len(own))
+                    encoded.append(hashlib.sha256(" ".join(map(bpe.decimal_of.__getitem__, own)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(own)).hexdigest())
+                    if keep_ids:
+                        ids.append(np.array(own, dtype=np.int32))
+                digests = [pa.array(sizes, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
                 if keep_ids:
-                    digests.insert(0, pa.array(ids, pa.list_(pa.int32())))
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    digests.insert(0, pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *digests], names=[*kept, *new])
 
     return source.mapInArrow(run, schema)

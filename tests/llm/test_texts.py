@@ -36,7 +36,7 @@ def codec(leaf=bpe.LEAF_CHARS):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "'", "s", "'re", " ", "  ", "\n", "é", "1", "23", "!", " ", "日本", "  \n", "'ll", "don't", "\U0001f600", "\x00", "\x85"]), max_size=50).map("".join))
+@given(st.lists(st.sampled_from(["a", "'", "s", "'re", " ", "  ", "\n", "é", "1", "23", "!", " ", "日本", "  \n", "'ll", "don't", "\U0001f600", "\x00", "\x85", "\x1c", "\x1f", "\u2028", "\u3000"]), max_size=50).map("".join))
 def test_tree_equals_the_library(text):
     small = codec(3)
     ids = small.encode(text)
@@ -59,6 +59,19 @@ def test_bpe_rows(spark, odd):
     assert bpe.encode_documents(odd.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_digests_equal_the_library(spark, sf, odd):
+    import hashlib
+
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in table.collect():
+        ids = codec().leaf(r.text or "")
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode()), ids))
+    got = bpe.encode_documents(table, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", "'s", " ", "  ", "\n", "é.", "12", "!", " \n", "\x00", ", ", "don't", " ", "<|endoftext|>"]), max_size=30).map("".join))
 def test_memo_equals_the_library(text):
