@@ -43,7 +43,7 @@ from .shared import new_path, slices
 
 _HEAD, _META, _INDEX, _CRC = struct.Struct("<QI"), struct.Struct("<qBB"), struct.Struct("<QQ"), struct.Struct("<I")
 #: Words whose ids a worker remembers at most; it forgets all beyond them.
-MEMORY_WORDS = 1_500_000
+MEMORY_WORDS = 1_000_000
 #: Bytes of text that a shard holds about, if there are more than the session's partitions can.
 SHARD_BYTES = 128_000_000
 _JOINED_SPACE = re.compile(r"\s | \s")
@@ -92,7 +92,7 @@ class WordMemoEncoder:
 
     def encode(self, texts: list[str], at_once: int = 500_000) -> list[bytes]:
         """The ids of each text, packed."""
-        if len(self.memo) > MEMORY_WORDS:
+        if len(self.memo) + len(self.bare) > MEMORY_WORDS:
             self.memo.clear()
             self.bare.clear()
         simple = [bool(t) and not t[0].isspace() and "\x00" not in t for t in texts]
@@ -201,7 +201,7 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def _writer(folder: str, tokenizer_path: str, end_id: int, part_rows: int = 8192, part_bytes: int = 16_000_000):
+def _writer(folder: str, tokenizer_path: str, end_id: int, part_rows: int = 4096, part_bytes: int = 8_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
