@@ -8,6 +8,7 @@ a base verdict that the lines cannot overrule.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -127,15 +128,17 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def measure(text: str | None, rules: LineRules = LineRules()) -> dict:
-    """All figures and verdicts of one text (null: none)."""
+    """All figures and verdicts of one text (null: none), and ``cleaned``: its bytes without failing lines."""
     text = text or ""
     words = text.encode().split()
     word_chars = len(text) - sum(map(text.count, _SPACE))
     seen: set[bytes] = set()
     duplicates = total = lost = 0
+    left: list[bytes] = []
     for line in text.encode().split(b"\n"):
         own = line.split()
         if not own:
+            left.append(line)
             continue
         duplicates += line in seen
         seen.add(line)
@@ -143,6 +146,8 @@ def measure(text: str | None, rules: LineRules = LineRules()) -> dict:
         total += size
         if line_fails(line, own, rules):
             lost += size
+        else:
+            left.append(line)
     repeated = repeat_words(words)
     base_failed = len(words) < 50 or 100 * repeated > 50 * len(words)
     passes = not base_failed or not rules.fail_short and 0 < len(words) < 50
@@ -155,23 +160,32 @@ def measure(text: str | None, rules: LineRules = LineRules()) -> dict:
         "base_failed": base_failed,
         "kept": passes and lost <= rules.lost * total,
         "lost_share": lost / total if total else 0.0,
+        "cleaned": b"\n".join(left),
     }
 
 
-_TYPES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "lost_share": "double"}
+_TYPES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "lost_share": "double", "cleaned_chars": "long", "cleaned_sha256": "string"}
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+
+
+def _figures(text: str | None, rules: LineRules) -> dict:
+    found = measure(text, rules)
+    cleaned = found.pop("cleaned")
+    return found | {"cleaned_chars": len(cleaned.decode()), "cleaned_sha256": hashlib.sha256(cleaned).hexdigest()}
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_share)``.
+    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_share, cleaned_chars, cleaned_sha256)``.
 
-    A null text has no words and fails.  Null ids and repeated rows stay; other
+    The last two are code points and digest (of the UTF-8) of the text without
+    its failing lines.  A null text has no words, fails and is cleaned as an empty one.  Null ids and repeated rows stay; other
     columns are not carried; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            rows = [measure(t, rules) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([r[c] for r in rows], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for c, t in _TYPES.items()]
+            rows = [_figures(t, rules) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([r[c] for r in rows], _ARROW[t]) for c, t in _TYPES.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_TYPES])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -193,7 +207,7 @@ def cleaned(text: str | None, rules: LineRules = LineRules()) -> str | None:
     """A text without its failing lines (null stays null)."""
     if text is None:
         return None
-    return "\n".join(x for x in text.split("\n") if not (w := x.encode().split()) or not line_fails(x.encode(), w, rules))
+    return measure(text, rules)["cleaned"].decode()
 
 
 def keep_cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
@@ -210,7 +224,7 @@ def keep_cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars",
             texts = whole.column(at).to_pylist()
             found = [measure(t, rules) for t in texts]
             batch = whole.filter(pa.array([m["kept"] for m in found], pa.bool_()))
-            changed = [cleaned(t, rules) if m["lost_share"] else None for t, m in zip(texts, found) if m["kept"]]
+            changed = [m["cleaned"].decode() if m["lost_share"] else None for m in found if m["kept"]]
             columns = list(batch.columns)
             columns[at] = pa.array([t if c is None else c for t, c in zip(columns[at].to_pylist(), changed)], columns[at].type)
             if at_n is not None:

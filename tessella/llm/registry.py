@@ -119,19 +119,21 @@ w AS (SELECT k, doc_id, text, {words.format("text")} AS ws FROM d),
 win AS (SELECT k, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w),
 often AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
 rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY k),
-ln AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT k, line, {words.format("line")} AS ws FROM ln),
-m AS (SELECT k, line, array_to_string(ws, ' ') AS joined, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda x: strlen(x))), 0) AS size,
+ln AS (SELECT k, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+lw AS (SELECT k, pos, line, {words.format("line")} AS ws FROM ln),
+m AS (SELECT k, pos, line, array_to_string(ws, ' ') AS joined, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda x: strlen(x))), 0) AS size,
   len(list_filter(ws, lambda x: x IN ({separators}))) AS seps, {symbols_of("line")} AS syms, len(list_filter(ws, lambda x: regexp_matches(x, '{symbol}'))) AS sw,
   len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS same, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS cased FROM lw WHERE len(ws) > 0),
-f AS (SELECT k, line, size, (n >= 2 AND seps >= greatest(2, {rules.separators} * n)) OR (n <= {rules.boilerplate_words} AND ({told}))
+f AS (SELECT k, pos, line, size, (n >= 2 AND seps >= greatest(2, {rules.separators} * n)) OR (n <= {rules.boilerplate_words} AND ({told}))
   OR (syms >= {rules.symbol_words} * n AND sw >= greatest(3, {rules.symbol_words} * n))
   OR (n >= {rules.least_words} AND (same >= {rules.repeats} * n OR (cased > 0 AND up / cased >= {rules.capitals}) OR NOT regexp_matches(line, '{ends}|{quality_rules.UNMARKED}'))) AS fails FROM m),
 s AS (SELECT k, count(*) - count(DISTINCT line) AS dup, sum(size) AS total, sum(CASE WHEN fails THEN size ELSE 0 END) AS lost FROM f GROUP BY k),
+c AS (SELECT lw.k, string_agg(lw.line, chr(10) ORDER BY lw.pos) AS cleaned FROM lw LEFT JOIN f ON f.k = lw.k AND f.pos = lw.pos WHERE f.fails IS NOT TRUE GROUP BY lw.k),
 b AS (SELECT w.k, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, {symbols_of("text")} AS n_symbols,
-  coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(total, 0) AS total FROM w LEFT JOIN s ON s.k = w.k LEFT JOIN rep ON rep.k = w.k)
+  coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(total, 0) AS total, coalesce(cleaned, '') AS cleaned FROM w LEFT JOIN c ON c.k = w.k LEFT JOIN s ON s.k = w.k LEFT JOIN rep ON rep.k = w.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= {rules.lost} * total AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= {rules.lost} * total AS kept,
+  length(cleaned) AS cleaned_chars, sha256(cleaned) AS cleaned_sha256
 FROM b
 """
 

@@ -1,5 +1,6 @@
 """Operators on single texts against brute force: HTML, rules, BPE, token files, secrets."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -175,6 +176,8 @@ def test_rules_rows(spark, odd):
     assert quality_rules.keep_good(odd).columns == odd.columns
     assert quality_rules.clean_lines(odd).where("text is null").count() == 2
     assert quality_rules.judge(odd.limit(0)).count() == 0
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert {(r.cleaned_chars, r.cleaned_sha256) for r in quality_rules.judge(odd.where("text is null")).collect()} == {(0, nothing)}
 
 
 def test_kept_texts_lose_their_failing_lines(spark):
