@@ -60,12 +60,13 @@ def term_weights(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS, lea
     # Dealt by page once: counts, norms and suffixes of a page then need no exchange of terms.
     pages = pages.repartition("ord").select("ord", kept.alias("words"))
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))).otherwise(F.array().cast("array<string>"))
-    terms = pages.select("ord", F.explode(F.concat("words", pairs)).alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Written once: the terms' counts and the weights both read them.
+    terms = checkpointed(pages.select("ord", F.explode(F.concat("words", pairs)).alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
     n = pages.agg(F.count(F.lit(1)).alias("n"))
     raw = terms.join(df, "term").join(F.broadcast(n)).select("ord", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))  # n: one row
-    norm = raw.groupBy("ord").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "ord").select("ord", "term", (F.col("raw") / F.col("norm")).alias("w"), "df")
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("ord")))
+    return raw.select("ord", "term", (F.col("raw") / norm).alias("w"), "df")
 
 
 def similar_pairs(weights: DataFrame, least: float = 0.95) -> DataFrame:
