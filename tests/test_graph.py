@@ -126,6 +126,15 @@ def test_splits(spark):
     assert sampling.id_map(got.select(F.col("head").alias("label"))).agg(F.max("id")).first()[0] == 19
 
 
+def test_subset_keeps_each_quota(spark):
+    """Shares under one triple count as one: 9 + 1 + 1 of a subset of 10, none cut again."""
+    rows = [(f"h{i}", r, "t") for r, n in (("big", 98), ("a", 1), ("b", 1)) for i in range(n)]
+    data = spark.createDataFrame(rows, "head string, relation string, tail string")
+    counts = {r.relation: r["count"] for r in sampling.stratified_subset(data, 10).groupBy("relation").count().collect()}
+    assert counts == {"big": 9, "a": 1, "b": 1}
+    assert sampling.stratified_subset(data, 100).count() == 100
+
+
 def test_training(spark):
     rows = [(f"e{i}", "next", f"e{(i + 1) % 12}", "train") for i in range(12)] + [(f"e{i}", "same", f"e{i}", "train") for i in range(12)]
     data = spark.createDataFrame(rows, "head string, relation string, tail string, split string")
