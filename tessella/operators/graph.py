@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import schemas, vocab
 from tessella.functions import text as T
+from tessella.plans.materialize import checkpointed
 
 
 def _none() -> Column:
@@ -61,28 +62,30 @@ def resolve_ends(names: DataFrame, entities: DataFrame) -> DataFrame:
     """``names(name)``, ``entities(ord, text, type)`` -> ``(name, eid)``.
 
     Exact, else the first entity whose name contains the name or is contained
-    in it.  Containment shares a gram of three characters when the contained
-    string has three; shorter ones are compared with all names of entities.
+    in it.  A name's substrings of the lengths that entities' names have are
+    looked up among these; the substrings of entities' names of the lengths
+    that open names have are reduced to the first entity each, before any name
+    is joined.  So the work grows with the lengths of the names, and what many
+    names share makes no pairs.
     """
     index = entities.groupBy(F.lower("text").alias("key")).agg(F.min("ord").alias("ord"), F.max_by(entity_id(F.col("text"), F.col("type")), "ord").alias("eid")).where("key <> ''")
+    index = checkpointed(index)
     asked = names.select("name", F.lower("name").alias("q")).where("name is not null").distinct()
-    exact = asked.join(index.select("key", "eid"), asked.q == index.key, "left").select("name", "q", "eid")
+    exact = checkpointed(asked.join(index.select("key", "eid"), asked.q == index.key, "left").select("name", "q", "eid"))
     rest = exact.where("eid is null").select("q").where("q <> ''").distinct()
 
-    def grams(c: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
-
-    holds = F.contains("key", "q") | F.contains("q", "key")
-    long_q, long_key = rest.where("length(q) >= 3"), index.where("length(key) >= 3")
-    by_gram = long_q.select("q", F.explode(grams("q")).alias("g")).join(long_key.select("key", "ord", "eid", F.explode(grams("key")).alias("g")), "g").where(holds)
-    # What is shorter than three characters has one or two: a bounded alphabet of grams.
-    short = lambda df, c: df.withColumn("g", F.explode(F.array_distinct(F.concat(F.split(c, ""), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))))))
-    short_q = rest.where("length(q) < 3").select("q", F.col("q").alias("g")).join(short(index, "key"), "g")
-    short_key = short(rest, "q").join(index.where("length(key) < 3").withColumn("g", F.col("key")), "g")
-    columns = ["q", "ord", "eid"]
-    found = by_gram.select(*columns).union(short_q.select(*columns)).union(short_key.select(*columns))
-    first = found.groupBy("q").agg(F.min_by("eid", "ord").alias("near"))
-    return exact.join(first, "q", "left").select("name", F.coalesce("eid", "near").alias("eid")).where("eid is not null")
+    def parts(df: DataFrame, c: str, of: DataFrame, d: str) -> DataFrame:
+        """``df`` with the distinct substrings ``g`` of ``c`` that are as long as any ``d``."""
+        lengths = of.agg(F.array_sort(F.collect_set(F.length(d))).alias("sizes"))  # one row: as many as there are lengths
+        size = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))
+        found = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length(c)), size))
+        return df.crossJoin(F.broadcast(lengths)).withColumn("g", F.explode(F.array_distinct(found))).drop("sizes")
+
+    first = F.min_by("eid", "ord").alias("eid"), F.min("ord").alias("ord")
+    within = parts(rest, "q", index, "key").join(index.select(F.col("key").alias("g"), "ord", "eid"), "g").select("q", "ord", "eid")
+    around = parts(index, "key", rest, "q").groupBy("g").agg(*first).join(rest, F.col("g") == F.col("q")).select("q", "ord", "eid")
+    near = within.union(around).groupBy("q").agg(F.min_by("eid", "ord").alias("near"))
+    return exact.join(near, "q", "left").select("name", F.coalesce("eid", "near").alias("eid")).where("eid is not null")
 
 
 def relation_triples(relations: DataFrame, resolved: DataFrame, namespace: str = vocab.ONTOLOGY, data: str = vocab.DATA) -> DataFrame:

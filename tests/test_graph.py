@@ -98,6 +98,40 @@ def test_ends(spark):
     assert got == {"lupercal": "character_horus_lupercal", "HORUS": "character_horus", "ax": "character_x"}
 
 
+def test_ends_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choices("abC é", k=rng.randint(0, 7)))
+    known = [(i, text(), "ARTIFACT") for i in range(60)]
+    names = [text() for _ in range(120)] + [k + "x" for _, k, _ in known]
+    got = {r.name: r.eid for r in graph.resolve_ends(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), spark.createDataFrame(known, "ord long, text string, type string")).collect()}
+    rows = {n: k for k, n in spark.createDataFrame(known, "ord long, text string, type string").select(graph.entity_id(F.col("text"), F.col("type")), "ord").collect()}
+    want, last, first = {}, {}, {}
+    for i, k, _ in known:
+        last[k.lower()] = i
+        first.setdefault(k.lower(), i)
+    for n in names:
+        q = n.lower()
+        held = [first[k] for k in first if k and q and (k in q or q in k)]
+        if q and q in last:
+            want[n] = rows[last[q]]
+        elif held:
+            want[n] = rows[last[known[min(held)][1].lower()]]
+    assert got == want and len(want) > 50
+
+
+def test_ends_of_names_that_share_their_words(spark):
+    """4,000 names of one pattern: joined on what all share, they made hundreds of millions of pairs."""
+    import time
+
+    known = spark.range(4000).select(F.col("id").alias("ord"), F.format_string("organization of number %09d", "id").alias("text"), F.lit("FACTION").alias("type"))
+    names = known.select(F.concat("text", F.lit(" and others")).alias("name")).union(known.select(F.right("text", F.lit(9))))
+    start = time.monotonic()
+    got = graph.resolve_ends(names, known).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("eid").alias("e")).first()
+    assert tuple(got) == (8000, 4000) and time.monotonic() - start < 30
+
+
 def test_candidates(spark):
     rows = spark.createDataFrame([("u", "Horus", "Q1", 1, "horus", "of the Imperium"), ("v", "Horus", "Q2", 1, "Horus x", "fictif"), ("w", "Horus", "Q3", 1, "Horus", "a town")], "uri string, name string, qid string, pos int, cand_label string, description string")
     assert [(r.uri, r.score) for r in graph.best_candidates(rows).collect()] == [("u", 0.9)]
