@@ -181,6 +181,20 @@ def test_training(spark):
         assert metrics.mrr > 0.4 and heads.mrr > 0.4
 
 
+def test_training_holds_no_python_rows(spark, monkeypatch):
+    """Triples and vectors pass the driver as arrays: a row object or list for each takes many times their size."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(f"e{i}", "next", f"e{(i + 1) % 50}", "train") for i in range(50)]
+    data = spark.createDataFrame(rows, "head string, relation string, tail string, split string")
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("collected") if {"h", "head"} & set(self.columns) else collect(self))
+    for model, parts in (("transe", 0), ("rotate", 4)):
+        e, _, facts = kge.train(data, kge.Config(model, dim=4, epochs=2))
+        assert facts["n_entities"] == 50
+        assert [(r.id, r.label, len(r.re), len(r.im)) for r in e.orderBy("id").collect()] == [(i, x, 4, parts) for i, x in enumerate(sorted(r[0] for r in rows))]
+
+
 def test_tails_without_self(spark):
     e = spark.createDataFrame([(i, f"e{i}", [float(i)], []) for i in range(12)], "id int, label string, re array<float>, im array<float>")
     r = spark.createDataFrame([(0, "r", [0.0], [])], "id int, label string, re array<float>, im array<float>")
