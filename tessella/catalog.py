@@ -178,8 +178,8 @@ gone AS (SELECT unnest(arg_max(gone, k)) AS ord FROM steps)"""
 
 @query(f"WITH {_WEIGHTS}, {_PAIRS} SELECT a, b, round(cosine, 4) AS cosine FROM pairs")
 def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = cleaning.term_weights(cleaning.drop_exact_duplicates(views.pages(spark, sf_dir)))
-    return cleaning.similar_pairs(weights).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    pages = cleaning.drop_exact_duplicates(views.pages(spark, sf_dir))
+    return cleaning.similar_pages(pages).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 @query(f"WITH RECURSIVE {_WEIGHTS}, {_PAIRS}, {_GREEDY} SELECT ord FROM f WHERE ord NOT IN (SELECT ord FROM gone)")

@@ -5,14 +5,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella import vocab
 from tessella.functions import text as T
-from tessella.functions.vectors import dot_product
-from tessella.plans.materialize import checkpointed
+from tessella.functions.vectors import Finish, broadcast_counts, finished, known_terms, prefixes, products, unit_vectors
+from tessella.plans.materialize import checkpointed, discarded, joined_by_key, written
+
+#: Terms with their counts, 12 bytes each, that a task's process holds at once.
+MOST_TERMS = 16_000_000
 
 
 def format_texts(pages: DataFrame) -> DataFrame:
@@ -22,12 +28,13 @@ def format_texts(pages: DataFrame) -> DataFrame:
 def drop_exact_duplicates(pages: DataFrame) -> DataFrame:
     """The first page of each text.
 
-    Digests are reduced before the shuffle, and pages are joined by ``ord``: a
-    text with many copies is a hot key of neither.
+    Digests are reduced before the shuffle, and pages are left out by ``ord``:
+    a text with many copies is a hot key of neither, and no text is moved.
     """
-    digests = pages.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("k"), "ord")
+    digests = written(pages.where("ord is not null").select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("k"), "ord"))
     first = digests.groupBy("k").agg(F.min("ord").alias("ord")).select("ord")
-    return pages.join(first, "ord", "left_semi")
+    later = checkpointed(digests.select("ord").distinct().join(first, "ord", "left_anti"))
+    return joined_by_key(pages.where("ord is not null"), later, "ord", "left_anti")
 
 
 def cut_texts(pages: DataFrame, keywords: tuple[str, ...] = vocab.CUTOFFS) -> DataFrame:
@@ -48,6 +55,14 @@ def title_change_share(pages: DataFrame, suffix: str = "", prefix: str = "Catég
     return pages.agg(F.round(100 * F.avg(changed.cast("double")), 2).alias("changed_percent"))
 
 
+def _words(text: Column, stop_words: list[str]) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), lambda w: ~w.isin(stop_words))
+
+
+def _idf(n: Column | float, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
+
+
 def term_weights(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS, least_df: int = 2) -> DataFrame:
     """``(ord, term, w, df)``: unit TF-IDF vectors of words and word pairs.
 
@@ -55,39 +70,134 @@ def term_weights(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS, lea
     idf = ln((1 + n) / (1 + df)) + 1; terms of fewer than ``least_df`` documents
     are dropped.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    kept = F.filter(words, lambda w: ~w.isin(stop_words))
     # Dealt by page once: counts, norms and suffixes of a page then need no exchange of terms.
-    pages = pages.repartition("ord").select("ord", kept.alias("words"))
+    pages = pages.repartition("ord").select("ord", _words(F.col("text"), stop_words).alias("words"))
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))).otherwise(F.array().cast("array<string>"))
     # Written once: the terms' counts and the weights both read them.
     terms = checkpointed(pages.select("ord", F.explode(F.concat("words", pairs)).alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
     n = pages.agg(F.count(F.lit(1)).alias("n"))
-    raw = terms.join(df, "term").join(F.broadcast(n)).select("ord", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))  # n: one row
+    raw = terms.join(df, "term").join(F.broadcast(n)).select("ord", "term", "df", (F.col("tf") * _idf(F.col("n"), F.col("df"))).alias("raw"))  # n: one row
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("ord")))
     return raw.select("ord", "term", (F.col("raw") / norm).alias("w"), "df")
 
 
+def hashed_terms(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS) -> DataFrame:
+    """Columns of ``pages`` but the text, and ``terms``: 64-bit digests of the words and word pairs, repeats included."""
+    kept = [c for c in pages.columns if c not in ("text", "url", "title")]
+    rows = pages.select(*kept, _words(F.coalesce("text", F.lit("")), stop_words).alias("words"))
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
+    return rows.select(*kept, F.concat(F.transform("words", lambda w: F.xxhash64(w)), pairs).alias("terms"))
+
+
+def _reach(least: float) -> float:
+    """Terms are joined from the rarest on until the norm of the rest is below this: far enough that one common term is not enough."""
+    return max(0.0, least * least - 0.03) ** 0.5
+
+
+def _candidates(prefix: DataFrame, least: float) -> DataFrame:
+    """``prefix(t, ord, w, after)`` -> pairs a < b that may be similar; terms until the norm of the rest is below :func:`_reach`.
+
+    ``after`` is what a page's squared norm has left behind the term.  At the
+    first common term of a similar pair nothing is common before it, so the
+    product of the two weights and the norms behind it must reach ``least``.
+    All common terms up to the end of the shorter prefix are joined, so their
+    products, and the rest of that page (below the reach) by what the other has
+    left behind the last common term, must reach it too.  Both are summed in
+    parts rounded up, which take a few bytes of a row; the slack is for floats.
+    """
+    a, b = (prefix.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("ord", "w", "after")]) for x in "ab")
+    both = a.join(b, "t").where(F.col("ord_a") < F.col("ord_b"))
+    product = F.col("w_a").cast("double") * F.col("w_b")
+    first = product + F.sqrt(F.col("after_a").cast("double") * F.col("after_b")) >= least - 1e-5
+    left = F.greatest("after_a", "after_b").cast("double")
+    rows = both.select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), F.ceil(product * 100_000).alias("common"), F.ceil(left * 1_000).cast("int").alias("left"), first.alias("first"))
+    found = rows.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("left").alias("left"), F.max("first").alias("first"))
+    bound = F.col("common") / 100_000 + _reach(least) * F.sqrt(F.col("left") / 1_000)
+    return found.where(F.col("first") & (bound >= least - 1e-5)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, vectors: Callable[[DataFrame], DataFrame], least: float, block: int = 500) -> DataFrame:
+    """Pairs with their cosines, of those that reach ``least``.
+
+    ``vectors(need)`` gives rows ``(key, ord, t, w)`` for ``need(ord, keys)``.
+    Pages are dealt to blocks of about ``block`` by their smallest partner, so
+    partners mostly share a block, and large groups are cut; a task holds the
+    vectors of two blocks.  A page is sent once to each pair of blocks that it
+    has a candidate in, not once for each candidate.
+    """
+    ends = pairs.select(F.col("a").alias("ord"), F.col("a").alias("x")).union(pairs.select("b", "a"))
+    labels = ends.groupBy("ord").agg(F.min("x").alias("label"))
+    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    docs = labels.join(sizes, "label")
+    blocks = max(1, -(-labels.count() // block))
+    docs = checkpointed(docs.select("ord", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("ord"), F.col("parts"))), F.lit(blocks)).alias("block")))
+    one, two = docs.toDF("a", "i"), docs.toDF("b", "j")
+    key = F.least("i", "j") * blocks + F.greatest("i", "j")
+    pairs = written(pairs.join(one, "a").join(two, "b").select(key.alias("key"), "a", "b"))
+    need = pairs.select("key", F.col("a").alias("ord")).union(pairs.select("key", "b")).distinct().groupBy("ord").agg(F.collect_list("key").alias("keys"))
+    return vectors(checkpointed(need)).groupBy("key").cogroup(pairs.groupBy("key")).applyInArrow(products(least), "a long, b long, cosine double")
+
+
 def similar_pairs(weights: DataFrame, least: float = 0.95) -> DataFrame:
-    """``(a, b, cosine)`` of all pairs a < b with cosine >= ``least``, exactly.
+    """``(a, b, cosine)`` of all pairs a < b with cosine >= ``least``, exactly, of given ``weights(ord, term, w, df)``.
 
     Terms are ordered from rare to frequent.  A document's suffix that has a
     norm under ``least`` can't alone reach it with a unit vector, so each pair
-    shares a term before that suffix; only such terms are joined.  Candidates
-    are then verified on their whole vectors.
+    shares a term before that suffix; only such terms, and some behind them,
+    are joined.  Candidates are then verified on their whole vectors.
     """
-    weights = checkpointed(weights)
-    order = W.partitionBy("ord").orderBy(F.desc("df"), F.desc("term"))
+    weights = checkpointed(weights.select("ord", F.xxhash64("term").alias("t"), "w", "df"))
+    order = W.partitionBy("ord").orderBy(F.desc("df"), F.desc("t"))
     tail = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    prefix = weights.withColumn("tail", tail).where(F.sqrt("tail") >= least - 1e-9).select("ord", "term", "w")
-    a, b = prefix.select(F.col("ord").alias("a"), "term"), prefix.select(F.col("ord").alias("b"), "term")
-    pairs = checkpointed(a.join(b, "term").where("a < b").select("a", "b").distinct())
-    # A page's vector in one row, its terms by their hash: as long as the page.
-    item = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
-    vectors = checkpointed(weights.groupBy("ord").agg(item.alias("v")).select("ord", F.col("v.t").alias("t"), F.col("v.w").alias("w")))
-    both = pairs.join(vectors.toDF("a", "ta", "wa"), "a").join(vectors.toDF("b", "tb", "wb"), "b")
-    return both.select("a", "b", dot_product(F.col("ta"), F.col("wa"), F.col("tb"), F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+    prefix = weights.withColumn("tail", tail).where(F.sqrt("tail") >= _reach(least) - 1e-9)
+    after = F.greatest(F.col("tail") - F.col("w") * F.col("w"), F.lit(0.0))
+    prefix = prefix.select("t", "ord", F.col("w").cast("float").alias("w"), after.cast("float").alias("after"))
+
+    def vectors(need: DataFrame) -> DataFrame:
+        whole = weights.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("v")).join(need, "ord")
+        return whole.select(F.explode("keys").alias("key"), "ord", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+
+    return _verified(written(_candidates(prefix, least)), vectors, least)
+
+
+def similar_pages(pages: DataFrame, least: float = 0.95, stop_words: list[str] = vocab.STOP_WORDS, least_df: int = 2, most_terms: int = MOST_TERMS) -> DataFrame:
+    """:func:`similar_pairs` of the pages' :func:`term_weights`, without a table of all terms of all pages.
+
+    Terms are 64-bit digests.  How many pages have a term is counted first;
+    terms of ``least_df`` pages and more are sent to the tasks, sorted, at most
+    ``most_terms`` in a pass.  The texts are then read again: once for the few
+    terms of each page that candidates must share, once for the whole vectors
+    of the pages that have a candidate.
+    """
+    terms = hashed_terms(pages, stop_words)
+    counts = terms.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
+    known = written(counts.select("t", F.col("df").cast("int").alias("df")))
+    size, n = known.count(), pages.count()
+    passes = max(1, -(-size // most_terms))
+    tables = [broadcast_counts(known, i, passes, size) for i in range(passes)]
+    discarded(known)
+
+    def weighted(rows: DataFrame, finish: Finish, schema: str) -> DataFrame:
+        """``terms`` -> their occurrences and counts, gathered from all passes, through ``finish``."""
+        if passes == 1:
+            return rows.mapInArrow(known_terms(tables[0], finish), schema)
+        keep = [c for c in rows.columns if c != "terms"]
+        counted = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep] + ["t array<long>", "tf array<int>", "df array<int>"])
+        found = reduce(DataFrame.unionByName, [rows.mapInArrow(known_terms(table), counted) for table in tables])
+        whole = found.groupBy("ord").agg(*[F.first(c).alias(c) for c in keep if c != "ord"], *[F.collect_list(F.struct("t", "tf", "df")).alias("x")])
+        return whole.select(*keep, *[F.flatten(F.col("x")[c]).alias(c) for c in ("t", "tf", "df")]).mapInArrow(finished(finish), schema)
+
+    prefix = written(weighted(terms, prefixes(n, _reach(least)), "t long, ord long, w float, after float"))
+    pairs = written(_candidates(prefix, least))
+    discarded(prefix)
+
+    def vectors(need: DataFrame) -> DataFrame:
+        asked = hashed_terms(joined_by_key(pages.select("ord", "text"), need, "ord", "inner"), stop_words)
+        return weighted(asked, unit_vectors(n), "key long, ord long, t array<long>, w array<double>")
+
+    return _verified(pairs, vectors, least)
 
 
 def keep_first_of_similar(pages: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -106,15 +216,15 @@ def keep_first_of_similar(pages: DataFrame, pairs: DataFrame) -> DataFrame:
         removed = gone if removed is None else checkpointed(removed.union(gone))
         names = gone.select(F.col("b").alias("x"))
         left = checkpointed(left.join(stay, "a", "left_anti").join(names, F.col("b") == F.col("x"), "left_anti").join(names, F.col("a") == F.col("x"), "left_anti"))
-    return pages if removed is None else pages.join(removed, F.col("ord") == F.col("b"), "left_anti")
+    return pages if removed is None else joined_by_key(pages, removed.select(F.col("b").alias("ord")), "ord", "left_anti")
 
 
 def drop_similar(pages: DataFrame, least: float = 0.95, stop_words: list[str] = vocab.STOP_WORDS) -> DataFrame:
-    return keep_first_of_similar(pages, similar_pairs(term_weights(pages, stop_words), least))
+    return keep_first_of_similar(pages, similar_pages(pages, least, stop_words))
 
 
 def clean_corpus(pages: DataFrame, least_length: int = 300, least_similarity: float = 0.95, suffix: str = "") -> DataFrame:
     """All cleaning steps in their order."""
-    pages = checkpointed(drop_exact_duplicates(format_texts(pages)))
+    pages = drop_exact_duplicates(written(format_texts(pages)))
     pages = long_enough(cut_texts(drop_similar(pages, least_similarity)), least_length)
     return clean_titles(pages, suffix).select("ord", "url", "title", "text")

@@ -1,5 +1,6 @@
 """Cleaning, text and URL functions on small cases."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -163,3 +164,38 @@ def test_frontier_equals_a_breadth_first_search(spark, sf, tmp_path):
         got = catalog.crawl_frontier(spark, folder).collect()
         assert len(got) >= len(least) > 0 and sorted(map(tuple, got)) == sorted(want.items())
     assert max(want.values()) == 10
+
+
+def near_copies(seed, n, words, vocabulary):
+    import random
+
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{rng.randrange(vocabulary)}" for _ in range(words)) for _ in range(n)]
+    return texts + [t + f" more{i % 3}" for i, t in enumerate(texts[: n // 3])] + ["", "w1", "w1 W1", None]
+
+
+@pytest.mark.parametrize("most_terms", [10**6, 150])
+def test_similar_pages_equal_similar_pairs(spark, most_terms):
+    """Read in passes, with or without room for all counts, the pages give the pairs of their weights."""
+    pages = spark.createDataFrame(list(enumerate(near_copies(2, 40, 40, 60))), "ord long, text string")
+    want = {(r.a, r.b): r.cosine for r in cleaning.similar_pairs(cleaning.term_weights(pages), 0.8).collect()}
+    got = {(r.a, r.b): r.cosine for r in cleaning.similar_pages(pages, 0.8, most_terms=most_terms).collect()}
+    assert len(want) > 10 and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("step", ["similar_pages", "drop_similar", "clean_corpus"])
+def test_similar_pages_write_less_than_their_texts(spark, tmp_path, monkeypatch, step):
+    """No table of all terms of all pages: what stays in the checkpoint folder is under three times the texts."""
+    from tessella.plans import materialize
+
+    texts = near_copies(3, 300, 300, 3000)
+    rows = [(i, "u", "t", t) for i, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "ord long, url string, title string, text string")
+    folder = spark.sparkContext.getCheckpointDir() or materialize.checkpoint_dir(spark.sparkContext)
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    try:
+        assert getattr(cleaning, step)(pages).count() > 0
+    finally:
+        spark.sparkContext.setCheckpointDir(folder)
+    stays = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert stays < 3 * sum(len(t or "") for t in texts)
