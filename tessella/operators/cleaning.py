@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from tessella import vocab
 from tessella.functions import text as T
 from tessella.functions.vectors import Finish, broadcast_counts, finished, known_terms, prefixes, products, unit_vectors
-from tessella.plans.materialize import checkpointed, discarded, joined_by_key, written
+from tessella.plans.materialize import batches_of, checkpointed, discarded, joined_by_key, written
 
 #: Terms with their counts, 12 bytes each, that a task's process holds at once.
 MOST_TERMS = 16_000_000
+#: Pages whose terms are handed to a task's process at once.
+ROWS_OF_TERMS = 500
 
 
 def format_texts(pages: DataFrame) -> DataFrame:
@@ -189,7 +191,8 @@ def similar_pages(pages: DataFrame, least: float = 0.95, stop_words: list[str] =
         whole = found.groupBy("ord").agg(*[F.first(c).alias(c) for c in keep if c != "ord"], *[F.collect_list(F.struct("t", "tf", "df")).alias("x")])
         return whole.select(*keep, *[F.flatten(F.col("x")[c]).alias(c) for c in ("t", "tf", "df")]).mapInArrow(finished(finish), schema)
 
-    prefix = written(weighted(terms, prefixes(n, _reach(least)), "t long, ord long, w float, after float"))
+    with batches_of(pages.sparkSession, ROWS_OF_TERMS):
+        prefix = written(weighted(terms, prefixes(n, _reach(least)), "t long, ord long, w float, after float"))
     pairs = written(_candidates(prefix, least))
     discarded(prefix)
 
@@ -197,7 +200,8 @@ def similar_pages(pages: DataFrame, least: float = 0.95, stop_words: list[str] =
         asked = hashed_terms(joined_by_key(pages.select("ord", "text"), need, "ord", "inner"), stop_words)
         return weighted(asked, unit_vectors(n), "key long, ord long, t array<long>, w array<double>")
 
-    return _verified(pairs, vectors, least)
+    with batches_of(pages.sparkSession, ROWS_OF_TERMS):
+        return written(_verified(pairs, vectors, least))
 
 
 def keep_first_of_similar(pages: DataFrame, pairs: DataFrame) -> DataFrame:
