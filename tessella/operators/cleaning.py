@@ -6,21 +6,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella import vocab
 from tessella.functions import text as T
-from tessella.functions.vectors import Finish, broadcast_counts, finished, known_terms, prefixes, products, unit_vectors
+from tessella.functions.vectors import broadcast_counts, counted_terms, known_terms, merged_counts, prefixes, products, unit_vectors
 from tessella.plans.materialize import batches_of, checkpointed, discarded, joined_by_key, written
 
 #: Terms with their counts, 12 bytes each, that a task's process holds at once.
-MOST_TERMS = 16_000_000
-#: Pages whose terms are handed to a task's process at once.
+MOST_TERMS = 8_000_000
+#: Pages whose words are handed to a task's process at once.
 ROWS_OF_TERMS = 500
+#: Pages for each range of digests whose terms are counted at once.
+PAGES_OF_RANGE = 1_000
 
 
 def format_texts(pages: DataFrame) -> DataFrame:
@@ -57,8 +59,12 @@ def title_change_share(pages: DataFrame, suffix: str = "", prefix: str = "Catég
     return pages.agg(F.round(100 * F.avg(changed.cast("double")), 2).alias("changed_percent"))
 
 
+def _all_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+
+
 def _words(text: Column, stop_words: list[str]) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), lambda w: ~w.isin(stop_words))
+    return F.filter(_all_words(text), lambda w: ~w.isin(stop_words))
 
 
 def _idf(n: Column | float, df: Column) -> Column:
@@ -84,13 +90,16 @@ def term_weights(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS, lea
     return raw.select("ord", "term", (F.col("raw") / norm).alias("w"), "df")
 
 
-def hashed_terms(pages: DataFrame, stop_words: list[str] = vocab.STOP_WORDS) -> DataFrame:
-    """Columns of ``pages`` but the text, and ``terms``: 64-bit digests of the words and word pairs, repeats included."""
+def hashed_words(pages: DataFrame) -> DataFrame:
+    """Columns of ``pages`` but the text, and ``words``: 64-bit digests of all words, stop words too."""
     kept = [c for c in pages.columns if c not in ("text", "url", "title")]
-    rows = pages.select(*kept, _words(F.coalesce("text", F.lit("")), stop_words).alias("words"))
-    n = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
-    return rows.select(*kept, F.concat(F.transform("words", lambda w: F.xxhash64(w)), pairs).alias("terms"))
+    return pages.select(*kept, F.transform(_all_words(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("words"))
+
+
+def _digests(spark: SparkSession, words: list[str]) -> np.ndarray:
+    """What :func:`hashed_words` has for these words."""
+    row = spark.range(1).select(F.lit(0), *[F.xxhash64(F.lit(w)) for w in words]).first()
+    return np.array(row[1:], dtype=np.int64)
 
 
 def _reach(least: float) -> float:
@@ -167,41 +176,36 @@ def similar_pairs(weights: DataFrame, least: float = 0.95) -> DataFrame:
 def similar_pages(pages: DataFrame, least: float = 0.95, stop_words: list[str] = vocab.STOP_WORDS, least_df: int = 2, most_terms: int = MOST_TERMS) -> DataFrame:
     """:func:`similar_pairs` of the pages' :func:`term_weights`, without a table of all terms of all pages.
 
-    Terms are 64-bit digests.  How many pages have a term is counted first;
-    terms of ``least_df`` pages and more are sent to the tasks, sorted, at most
-    ``most_terms`` in a pass.  The texts are then read again: once for the few
-    terms of each page that candidates must share, once for the whole vectors
-    of the pages that have a candidate.
+    Terms are 64-bit digests.  How many pages have a term is counted first, in
+    ranges of digests, which tasks send on as arrays; terms of ``least_df``
+    pages and more are sent to the tasks, sorted, in tables of ``most_terms``.
+    The texts are then read again, however many tables there are: once for the
+    few terms of each page that candidates must share, once for the whole
+    vectors of the pages that have a candidate.
     """
-    terms = hashed_terms(pages, stop_words)
-    counts = terms.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
-    known = written(counts.select("t", F.col("df").cast("int").alias("df")))
-    size, n = known.count(), pages.count()
-    passes = max(1, -(-size // most_terms))
-    tables = [broadcast_counts(known, i, passes, size) for i in range(passes)]
+    n, stop = pages.count(), _digests(pages.sparkSession, stop_words)
+    with batches_of(pages.sparkSession, ROWS_OF_TERMS):
+        counts = hashed_words(pages).select("words").mapInArrow(counted_terms(stop, max(1, -(-n // PAGES_OF_RANGE))), "r int, t array<long>, n array<int>")
+        known = written(counts.groupBy("r").applyInArrow(merged_counts(least_df), "t long, df int"))
+    size = known.count()
+    some = max(1, -(-size // most_terms))
+    tables = [broadcast_counts(known, i, some, size) for i in range(some)]
     discarded(known)
 
-    def weighted(rows: DataFrame, finish: Finish, schema: str) -> DataFrame:
-        """``terms`` -> their occurrences and counts, gathered from all passes, through ``finish``."""
-        if passes == 1:
-            return rows.mapInArrow(known_terms(tables[0], finish), schema)
-        keep = [c for c in rows.columns if c != "terms"]
-        counted = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep] + ["t array<long>", "tf array<int>", "df array<int>"])
-        found = reduce(DataFrame.unionByName, [rows.mapInArrow(known_terms(table), counted) for table in tables])
-        whole = found.groupBy("ord").agg(*[F.first(c).alias(c) for c in keep if c != "ord"], *[F.collect_list(F.struct("t", "tf", "df")).alias("x")])
-        return whole.select(*keep, *[F.flatten(F.col("x")[c]).alias(c) for c in ("t", "tf", "df")]).mapInArrow(finished(finish), schema)
-
     with batches_of(pages.sparkSession, ROWS_OF_TERMS):
-        prefix = written(weighted(terms, prefixes(n, _reach(least)), "t long, ord long, w float, after float"))
+        prefix = written(hashed_words(pages).mapInArrow(known_terms(tables, stop, prefixes(n, _reach(least))), "t long, ord long, w float, after float"))
     pairs = written(_candidates(prefix, least))
     discarded(prefix)
 
     def vectors(need: DataFrame) -> DataFrame:
-        asked = hashed_terms(joined_by_key(pages.select("ord", "text"), need, "ord", "inner"), stop_words)
-        return weighted(asked, unit_vectors(n), "key long, ord long, t array<long>, w array<double>")
+        asked = hashed_words(joined_by_key(pages.select("ord", "text"), need, "ord", "inner"))
+        return asked.mapInArrow(known_terms(tables, stop, unit_vectors(n)), "key long, ord long, t array<long>, w array<double>")
 
     with batches_of(pages.sparkSession, ROWS_OF_TERMS):
-        return written(_verified(pairs, vectors, least))
+        found = written(_verified(pairs, vectors, least))
+    for table in tables:
+        table.destroy()
+    return found
 
 
 def keep_first_of_similar(pages: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -199,3 +199,71 @@ def test_similar_pages_write_less_than_their_texts(spark, tmp_path, monkeypatch,
         spark.sparkContext.setCheckpointDir(folder)
     stays = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
     assert stays < 3 * sum(len(t or "") for t in texts)
+
+
+def test_similar_pages_send_no_terms_of_pages_for_more_tables(spark):
+    """Counts that need many tables are looked up where the texts are read: as few bytes are shuffled as for one."""
+    texts = near_copies(5, 300, 300, 2500)
+    pages = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    sent, pairs = [], []
+    for most_terms in (10**6, 3000):
+        before = sum(x.totalShuffleWrite() for x in shuffled(spark))
+        pairs.append({(r.a, r.b): r.cosine for r in cleaning.similar_pages(pages, most_terms=most_terms).collect()})
+        sent.append(sum(x.totalShuffleWrite() for x in shuffled(spark)) - before)
+    assert len(pairs[0]) > 10 and pairs[0] == pytest.approx(pairs[1])
+    assert 0 < sent[1] < 1.2 * sent[0]
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(True)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_terms_are_counted_and_looked_up_as_in_plain_python(monkeypatch):
+    """Stop words go before pairs are formed, pairs stay within a row; rows that wait for others and rows without words are there too."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.functions import vectors
+
+    rng = random.Random(4)
+    words = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(18)]
+    stop = set(words[:2])
+    rows = [rng.choices(words, k=rng.randrange(30)) for _ in range(40)] + [[], words[:2], words[2:3]]
+    pair = lambda a, b: (a * int(vectors.PAIR) + b + (1 << 63)) % (1 << 64) - (1 << 63)
+    kept = [[w for w in r if w not in stop] for r in rows]
+    want = [Counter(r + [pair(a, b) for a, b in zip(r, r[1:])]) for r in kept]
+    df = Counter(t for c in want for t in c)
+    batches = [pa.RecordBatch.from_pydict({"ord": pa.array(range(i, min(i + 7, len(rows))), pa.int64()), "words": pa.array(rows[i : i + 7], pa.list_(pa.int64()))}) for i in range(0, len(rows), 7)]
+    given = np.array(sorted(stop), dtype=np.int64)
+
+    class Table:
+        def __init__(self, own):
+            self.value = [(np.array(own, dtype=np.int64), np.array([df[t] for t in own], dtype=np.int32))] if own else []
+
+    known = sorted(t for t in df if df[t] > 1)
+    for held in (1, 200, 10**6):
+        monkeypatch.setattr(vectors, "HELD_TERMS", held)
+        monkeypatch.setattr(vectors, "SLICE_TERMS", 40)
+        got = Counter()
+        for out in vectors.counted_terms(given, 4)(iter(batches)):
+            for r, t, n in zip(*(out.column(c).to_pylist() for c in "rtn")):
+                assert t == sorted(set(t)) and {(x + (1 << 63)) >> 62 for x in t} == {r}
+                got.update(dict(zip(t, n)))
+        assert got == df
+        for tables in ([Table(known)], [Table(known[:20]), Table([]), Table(known[20:])]):
+            found = {}
+
+            def finish(rest, row, t, tf, n):
+                for i, o in enumerate(rest.column("ord").to_pylist()):
+                    assert list(n[row == i]) == [df[x] for x in t[row == i]]
+                    found[o] = dict(zip(t[row == i].tolist(), tf[row == i].tolist()))
+                yield from ()
+
+            assert list(vectors.known_terms(tables, given, finish)(iter(batches))) == []
+            assert found == {o: {t: k for t, k in c.items() if df[t] > 1} for o, c in enumerate(want)}
