@@ -18,7 +18,7 @@ from tessella.functions.vectors import broadcast_counts, counted_terms, known_te
 from tessella.plans.materialize import batches_of, checkpointed, discarded, joined_by_key, written
 
 #: Terms with their counts, 12 bytes each, that a task's process holds at once.
-MOST_TERMS = 8_000_000
+MOST_TERMS = 4_000_000
 #: Pages whose words are handed to a task's process at once.
 ROWS_OF_TERMS = 500
 #: Pages for each range of digests whose terms are counted at once.
