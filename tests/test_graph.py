@@ -195,6 +195,50 @@ def test_training_holds_no_python_rows(spark, monkeypatch):
         assert [(r.id, r.label, len(r.re), len(r.im)) for r in e.orderBy("id").collect()] == [(i, x, 4, parts) for i, x in enumerate(sorted(r[0] for r in rows))]
 
 
+@pytest.mark.parametrize("model", ["transe", "rotate"])
+def test_training_in_parts(spark, model):
+    """Any number of triples is trained: tasks hold bounded parts of them, and Spark's partitions don't change the vectors."""
+    rows = [(f"e{i}", "next", f"e{(i + 1) % 90}", "train") for i in range(90)] + [(f"e{i}", "of", f"hub{i % 3}", "train") for i in range(90)]
+    data = spark.createDataFrame(rows, "head string, relation string, tail string, split string")
+    config = kge.Config(model, dim=8, epochs=6, rate=0.05, batch=16, margin=3.0, negatives=4 if model == "rotate" else 1, part_floats=400)
+    got = []
+    for n in (4, 3):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            e, r, facts = kge.train(data, config)
+            got.append([[tuple(x) for x in v.orderBy("id").collect()] for v in (e, r)])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] and [len(x) for x in got[0]] == [93, 2]
+    assert facts["parts"] == (8 if model == "rotate" else 4) and len(facts["losses"]) == 6 and facts["losses"][-1] < facts["losses"][0]
+
+
+def test_a_head_of_most_triples_is_spread(spark):
+    triples = spark.range(50_000).selectExpr("if(id % 10 = 0, id, -1L) h", "0L r", "id t")
+    sizes = {x.part: x["count"] for x in kge._dealt(triples, 8).groupBy("part").count().collect()}
+    assert sum(sizes.values()) == 50_000 and len(sizes) > 1 and max(sizes.values()) < 30_000
+
+
+def test_counts_of_nearer_tails_equal_brute_force():
+    """Boxes that are wholly nearer or farther, groups of many test triples, ties, and distances within the error of single precision."""
+    rng = np.random.default_rng(1)
+    for parts, scale in ((1, 0), (2, 0), (1, 1), (2, 1), (1, 1e-3), (2, 50)):
+        rows = lambda m: rng.integers(-1, 2, (m, 8)) * 1.0 if not scale else (rng.normal(size=(m, 8)) * scale).astype(np.float32).astype(float)  # noqa: E731,B023
+        tails, asked = ([rows(m) for _ in range(parts)] for m in (2000, 70))
+        tails[0][:500] = tails[0][0]
+        tails[-1][500:600] = tails[-1][600:700] * (1 + 1e-9)
+        group = np.sort(np.r_[np.arange(70), np.full(40, 7), rng.integers(0, 70, 60)])
+        own = rng.integers(0, 2000, len(group))
+        true = kge._far([a[group] for a in asked], [x[own] for x in tails])
+        true = true[np.lexsort((true, group))]
+        ask = kge._Asked(asked, group, true, group, own)
+        found = sum(ask.counted([x[j : j + 500] for x in tails]) for j in range(0, 2000, 500))
+        far = kge._far([a[group][:, None] for a in asked], [x[None] for x in tails])
+        assert (found == np.stack([(far < true[:, None]).sum(axis=1), (far == true[:, None]).sum(axis=1)])).all()
+        known = kge._far([a[group] for a in asked], [x[own] for x in tails])
+        assert (ask.known(np.arange(2000), tails) == np.array([[(known[group == g] < x).sum(), (known[group == g] == x).sum()] for g, x in zip(group, true)]).T).all()
+
+
 def test_tails_without_self(spark):
     e = spark.createDataFrame([(i, f"e{i}", [float(i)], []) for i in range(12)], "id int, label string, re array<float>, im array<float>")
     r = spark.createDataFrame([(0, "r", [0.0], [])], "id int, label string, re array<float>, im array<float>")
